@@ -11,6 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES: dict[str, str] = {
     "op9_quality_rules": "op9",
+    "op10_toxicity": "op10",
 }
 
 
