@@ -76,15 +76,19 @@ def fit_binary(
     return _weights(z, n, alpha, beta, l1, l2), -zb / ((beta + np.sqrt(nb)) / alpha)
 
 
-def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature that makes held-aside rows likeliest, by golden-section search on its logarithm."""
+def temperature(logits: np.ndarray, labels: np.ndarray, smooth: float = 0.005) -> float:
+    """The temperature that makes held-aside rows likeliest, by golden-section search on its logarithm.
+
+    ``smooth`` is the share of doubt spread over all classes, so that separable rows don't drive it to zero.
+    """
     if not len(labels):
         return 1.0
 
     def loss(log_t: float) -> float:
         s = logits / np.exp(log_t)
         s = s - s.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(labels)), labels]))
+        own = (1 - smooth) * s[np.arange(len(labels)), labels] + smooth * s.mean(axis=1)
+        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - own))
 
     lo, hi, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
     a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
