@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES: dict[str, str] = {
+    "op1_personal_data": "op1",
     "op6_language_id": "op6",
     "op9_quality_rules": "op9",
     "op10_toxicity": "op10",
