@@ -1,0 +1,48 @@
+"""Connected components of a link table, by alternating large-star and small-star steps on DataFrames.
+
+Each step is a grouped minimum and a join on node ids, so no neighbourhood is ever gathered in one task; the link
+table is written to the shared checkpoint folder after each round and never reaches the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliant.session import cut_lineage
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    moved = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of ``links`` (a, b); the root is the component's least node. Self-links add nothing."""
+    e = cut_lineage(links.select("a", "b").where("a <> b").distinct())
+
+    def mark(x: DataFrame) -> tuple:
+        r = x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        return r[0], r[1]
+
+    before = mark(e)
+    for _ in range(most_rounds):
+        if not before[0]:
+            break
+        e = cut_lineage(_small_star(_large_star(e)))
+        now = mark(e)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    roots = e.select(F.col("b").alias("node")).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES: dict[str, str] = {
     "op1_personal_data": "op1",
     "op6_language_id": "op6",
+    "op7_simhash": "op7",
     "op9_quality_rules": "op9",
     "op10_toxicity": "op10",
 }
