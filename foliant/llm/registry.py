@@ -14,6 +14,7 @@ MODULES: dict[str, str] = {
     "op5_packing": "op5",
     "op6_language_id": "op6",
     "op7_simhash": "op7",
+    "op8_decontamination": "op8",
     "op9_quality_rules": "op9",
     "op10_toxicity": "op10",
 }
