@@ -11,6 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES: dict[str, str] = {
     "op1_personal_data": "op1",
+    "op4_preference_format": "op4",
     "op5_packing": "op5",
     "op6_language_id": "op6",
     "op7_simhash": "op7",
