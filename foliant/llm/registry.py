@@ -11,6 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES: dict[str, str] = {
     "op1_personal_data": "op1",
+    "op2_perplexity_quality": "op2",
     "op3_main_text": "op3",
     "op4_preference_format": "op4",
     "op5_packing": "op5",
