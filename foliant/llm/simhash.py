@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,3 +135,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def fingerprint_text(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same columns with one row of each component: that of the least key (of repeated keys, the least text).
+
+    Rows with a null key can't be told from each other and stay.
+    """
+    found = near_duplicates(df, key, text)
+    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
+    held = df.join(first, F.col(f"`{key}`") == F.col("_first")).drop("_first")
+    order = Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{text}`"))
+    one = held.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return one.unionByName(df.where(F.col(f"`{key}`").isNull()))
