@@ -1,0 +1,159 @@
+"""Synthetic documents of every format, as small as they can be."""
+
+import io
+import struct
+import zipfile
+
+OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+
+
+def zipped(members: dict[str, str | bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members.items():
+            z.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()
+
+
+def rel(i, kind, target, extra=""):
+    return f'<Relationship Id="{i}" Type="{OFFICE}/{kind}" Target="{target}"{extra}/>'
+
+
+def docx() -> bytes:
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = (
+        '<w:p><w:r><w:t>Before</w:t></w:r></w:p><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Start *here*</w:t></w:r></w:p>'
+        "<w:p><w:r><w:t>One – two</w:t><w:br/><w:t>three</w:t></w:r></w:p>"
+        '<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>A</w:t></w:r></w:p></w:tc></w:tr>'
+        "<w:tr><w:tc><w:p><w:r><w:t>B|</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>C</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    )
+    return zipped({"_rels/.rels": RELS.format(rel("r1", "officeDocument", "word/document.xml")), "word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'})
+
+
+def pptx() -> bytes:
+    p, a = "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main"
+
+    def slide(title, text):
+        sp = '<p:sp><p:nvSpPr><p:nvPr>{}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:txBody></p:sp>'
+        return f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:cSld><p:spTree>{sp.format("<p:ph type=\"title\"/>", title)}{sp.format("", text)}</p:spTree></p:cSld></p:sld>'
+
+    main = f'<p:presentation xmlns:p="{p}" xmlns:r="{OFFICE}"><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>'
+    return zipped(
+        {
+            "_rels/.rels": RELS.format(rel("r1", "officeDocument", "/ppt/presentation.xml")),
+            "ppt/presentation.xml": main,
+            "ppt/_rels/presentation.xml.rels": RELS.format(rel("a", "slide", "slides/s1.xml") + rel("b", "slide", "slides/s2.xml")),
+            "ppt/slides/s1.xml": slide("Second", "x"),
+            "ppt/slides/s2.xml": slide("First", "y"),
+        }
+    )
+
+
+def xlsx() -> bytes:
+    m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cells = (
+        '<row r="5"><c r="C5" t="inlineStr"><is><t>offset</t></is></c><c r="D5" t="e"><v>#DIV/0!</v></c><c r="E5" s="1"/><c r="F5"><f>1/0</f></c></row>'
+        '<row r="7"><c r="D7"><v>42</v></c><c r="E7"><f t="shared" si="0">D7+$A$1</f><v>1</v></c></row><row r="8"><c r="E8"><f t="shared" si="0"/><v>2</v></c><c r="F8" t="s"><v>1</v></c></row>'
+    )
+    return zipped(
+        {
+            "_rels/.rels": RELS.format(rel("r1", "officeDocument", "xl/workbook.xml")),
+            "xl/workbook.xml": f'<workbook xmlns="{m}" xmlns:r="{OFFICE}"><sheets><sheet name="Data" sheetId="1" r:id="s"/><sheet name="Far" sheetId="2" state="hidden" r:id="t"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": RELS.format(rel("s", "worksheet", "worksheets/a.xml") + rel("t", "worksheet", "worksheets/b.xml") + rel("x", "sharedStrings", "sharedStrings.xml")),
+            "xl/sharedStrings.xml": f'<sst xmlns="{m}"><si><t>zero</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>',
+            "xl/worksheets/a.xml": f'<worksheet xmlns="{m}"><sheetData>{cells}</sheetData></worksheet>',
+            "xl/worksheets/b.xml": f'<worksheet xmlns="{m}"><sheetData><row r="5"><c r="C5"><v>1</v></c></row><row r="1048576"><c r="XFD1048576"><v>2</v></c></row></sheetData></worksheet>',
+        }
+    )
+
+
+def _odf(kind, body) -> bytes:
+    ns = " ".join(f'xmlns:{p}="urn:oasis:names:tc:opendocument:xmlns:{u}:1.0"' for p, u in (("office", "office"), ("text", "text"), ("table", "table"), ("draw", "drawing"), ("presentation", "presentation")))
+    return zipped({"mimetype": f"application/vnd.oasis.opendocument.{kind}", "META-INF/manifest.xml": "<manifest/>", "content.xml": f"<office:document-content {ns}><office:body>{body}</office:body></office:document-content>"})
+
+
+def odt() -> bytes:
+    return _odf("text", '<office:text><text:h text:outline-level="1">Top</text:h><text:p>a<text:s text:c="2"/>b<text:line-break/>c</text:p><text:list><text:list-item><text:p>i</text:p></text:list-item></text:list></office:text>')
+
+
+def odp() -> bytes:
+    return _odf("presentation", '<office:presentation><draw:page><draw:frame presentation:class="title"><draw:text-box><text:p>Name</text:p></draw:text-box></draw:frame></draw:page></office:presentation>')
+
+
+def ods() -> bytes:
+    cell = '<table:table-cell office:value-type="float" office:value="3" table:number-columns-repeated="2"><text:p>3</text:p></table:table-cell>'
+    return _odf("spreadsheet", f'<office:spreadsheet><table:table table:name="S"><table:table-row table:number-rows-repeated="2">{cell}<table:table-cell table:number-columns-repeated="1000"/></table:table-row></table:table></office:spreadsheet>')
+
+
+def epub() -> bytes:
+    page = "<html><head><title>{0}</title></head><body><h1>{0}</h1><p>text {0}</p></body></html>"
+    opf = (
+        '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>'
+        '<item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/>'
+        '<item id="p" href="p.pdf" media-type="application/pdf" fallback="a"/></manifest><spine><itemref idref="b"/><itemref idref="p" linear="no"/></spine></package>'
+    )
+    return zipped(
+        {
+            "mimetype": "application/epub+zip",
+            "META-INF/container.xml": '<container><rootfiles><rootfile full-path="OPS/p.opf"/></rootfiles></container>',
+            "OPS/p.opf": opf,
+            "OPS/nav.xhtml": '<html><body><nav><ol><li><a href="b.xhtml#x">The second</a></li></ol></nav></body></html>',
+            "OPS/a.xhtml": page.format("A"),
+            "OPS/b.xhtml": page.format("B"),
+        }
+    )
+
+
+EML = b"""From: =?utf-8?q?J=C3=B6rg?= <j@example.org>\r
+Subject: Title\r
+MIME-Version: 1.0\r
+Content-Type: multipart/mixed; boundary=X\r
+\r
+--X\r
+Content-Type: multipart/alternative; boundary=Y\r
+\r
+--Y\r
+Content-Type: text/plain; charset=utf-8\r
+Content-Transfer-Encoding: quoted-printable\r
+\r
+caf=C3=A9 *x*\r
+--Y\r
+Content-Type: text/html\r
+\r
+<p>html</p>\r
+--Y--\r
+--X\r
+Content-Type: text/plain; name=a.txt\r
+Content-Disposition: attachment; filename=a.txt\r
+\r
+attached\r
+--X--\r
+"""
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file with a flat directory: one FAT sector, small streams in the mini stream."""
+    names = sorted(streams)
+    mini, mini_fat, starts = b"", [], {}
+    for n in names:
+        blocks = -(-len(streams[n]) // 64)
+        starts[n] = len(mini_fat) if blocks else 0xFFFFFFFE
+        mini_fat += [len(mini_fat) + i + 1 for i in range(blocks - 1)] + [0xFFFFFFFE] * bool(blocks)
+        mini += streams[n].ljust(blocks * 64, b"\0")
+
+    def entry(name, kind, child=0xFFFFFFFF, right=0xFFFFFFFF, start=0xFFFFFFFE, size=0):
+        raw = (name + "\0").encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBB3I", len(raw), kind, 1, 0xFFFFFFFF, right, child) + bytes(36) + struct.pack("<IQ", start, size)
+
+    directory = entry("Root Entry", 5, child=1 if names else 0xFFFFFFFF, start=3, size=len(mini))
+    for i, n in enumerate(names, 1):
+        directory += entry(n, 2, right=i + 1 if i < len(names) else 0xFFFFFFFF, start=starts[n], size=len(streams[n]))
+    directory = directory.ljust(512, b"\0")
+    mini_sectors = -(-len(mini) // 512)
+    fat = [0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFE] + [3 + i + 1 for i in range(mini_sectors - 1)] + [0xFFFFFFFE]
+    fat += [0xFFFFFFFF] * (128 - len(fat))
+    header = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<5H", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<9I", 0, 1, 1, 0, 4096, 2, 1, 0xFFFFFFFE, 0)
+    header += struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    mini_table = struct.pack(f"<{len(mini_fat)}I", *mini_fat).ljust(512, b"\xff")
+    return header + struct.pack("<128I", *fat) + directory + mini_table + mini.ljust(mini_sectors * 512, b"\0")
