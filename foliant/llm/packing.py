@@ -15,6 +15,9 @@ rows; a text of any length is read whole, and a document longer than a block is
 from __future__ import annotations
 
 import heapq
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -30,46 +33,100 @@ LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
 BLOCK_TOKENS = 4_000_000
 END_ID = 2
+#: Texts that are encoded together have about so many characters.
+GROUP_CHARS = 1 << 20
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
 
 
-class ChunkTokens(dict):
-    """Text between blanks to its ids as bytes of unsigned 16 or 32 bits; emptied when full, so that its memory stays bounded.
+# How the tokenizer parts a text into words. Where a text has only the characters of _LATIN, small letters and
+# word classes are those of Python's re, and no character composes with another.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_LATIN = re.compile("[\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
 
-    The tokenizer drops white space and never joins what stands on two sides of it, so a text's ids are those of its chunks.
+
+class WordTokens(dict):
+    """Words to their ids as bytes of unsigned 16 or 32 bits, in two generations, so that its memory stays bounded.
+
+    A text of Latin characters is parted into words here, with the tokenizer's rule, and a word's ids are looked up; new
+    words are encoded many at a time and parted at the tokens that end a word. Any other text goes to the tokenizer whole.
     """
 
     MOST = 400_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.parted = words_are_known(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not at hand, which are then kept."""
+        known = {w: ids for w in missing if (ids := self.older.get(w)) is not None} if self.older else {}
+        words, others = [], []
+        for w in missing:
+            if w not in known:
+                (words if w.isalpha() else others).append(w)
+        encode = self.tokenizer.encode_batch_fast
+        for at in range(0, len(words), 128):
+            group = words[at : at + 128]
+            ids = np.array(encode([" ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(cuts) != len(group):
+                others += group
+                continue
+            raw = ids.tobytes()
+            known.update(zip(group, [raw[a:z] for a, z in zip([0, *cuts], cuts)]))
+        for w, e in zip(others, encode(others, add_special_tokens=False) if others else (), strict=True):
+            known[w] = np.array(e.ids, self.dtype).tobytes()
+        if len(self) + len(known) > self.MOST:
+            self.older = dict(self)
+            self.clear()
+        self.update(known)
+        return known
 
     def encode(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ")
-        if missing := {c for c in chunks if c not in self}:
-            if len(self) + len(missing) > self.MOST:
-                self.clear()
-                missing = set(chunks)
-            order = list(missing)
-            for at in range(0, len(order), 4096):
-                part = order[at : at + 4096]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self[c] = np.array(e.ids, self.dtype).tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), self.dtype)
-
-
-def chunks_are_safe(tokenizer_json: str) -> bool:
-    """Whether a tokenizer splits at white space, removes it and normalises each character run by itself."""
-    import json
-
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of several texts; the words that are not at hand are learned at once."""
+        split: list[list[str] | None] = [_WORD.findall(t.lower()) if self.parted and "<|" not in t and _LATIN.fullmatch(t) else None for t in texts]
+        get = self.get
+        missing: set[str] = set()
+        for words in split:
+            if words:
+                missing.update([w for w in words if w not in self])
+        new: dict[str, bytes] = {}
+        if missing:
+            held = self.copy() if len(self) + len(missing) > self.MOST else self
+            new = self.learn(missing)
+            get = held.get
+        out = []
+        for t, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype))
+                continue
+            found = list(map(get, words))
+            if None in found:
+                found = [ids if ids is not None else new[w] for w, ids in zip(words, found, strict=True)]
+            out.append(np.frombuffer(b"".join(found), self.dtype))
+        return out
+
+
+def words_are_known(tokenizer_json: str) -> bool:
+    """Whether a tokenizer makes letters small and parts words as ``_WORD`` does, each with its own ids."""
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = json.load(f)
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
     first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and not spec.get("post_processor")
+    rule = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return steps == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": rule} and bool(first.get("invert")) and not spec.get("post_processor")
 
 
 def _parts(tokens: int) -> Iterator[int]:
@@ -94,25 +151,24 @@ def pack(lengths: Iterable[int], length: int = LENGTH) -> list[Piece]:
     total = sum(r[0] for r in rest)
     full = total // length
     fill = [0] * full
-    heap = [(0.0, s) for s in range(full)]
+    ready = [(0.0, s) for s in range(full)]  # by cost, among them all that have room for the piece at hand
+    narrow: list[tuple[int, float, int]] = []  # by room, largest first: those too full for it
     left: list[tuple[int, int, int]] = []
     for n, doc, start in rest:
-        cost, aside, placed = LINEAR * n + QUADRATIC * n * n, [], False
-        while heap:
-            c, s = heapq.heappop(heap)
+        while narrow and -narrow[0][0] >= n:
+            _, c, s = heapq.heappop(narrow)
+            heapq.heappush(ready, (c, s))
+        while ready:
+            c, s = heapq.heappop(ready)
             if fill[s] + n <= length:
                 out.append((doc, start, n, sequences + s, fill[s]))
                 fill[s] += n
                 if fill[s] < length:
-                    heapq.heappush(heap, (c + cost, s))
-                placed = True
+                    heapq.heappush(ready, (c + LINEAR * n + QUADRATIC * n * n, s))
                 break
-            aside.append((c, s))
-        if not placed:
+            heapq.heappush(narrow, (fill[s] - length, c, s))
+        else:
             left.append((n, doc, start))
-        for x in aside:
-            # no later piece is longer, but one may be short enough
-            heapq.heappush(heap, x)
     gaps = [[sequences + s, fill[s], length - fill[s]] for s in range(full) if fill[s] < length]
     tail = total - full * length
     for k, part in enumerate(_parts(tail)):
@@ -143,13 +199,23 @@ def pack_documents(
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ChunkTokens(tokenizer_json)
-        plain = not chunks_are_safe(tokenizer_json)
+        tokens = WordTokens(tokenizer_json)
         task, used = TaskContext.get().partitionId(), 0
         keys: list = []
         ids: list[np.ndarray] = []
         held = 0
 
+        def encoded(texts: list[str]) -> Iterator[np.ndarray]:
+            group: list[str] = []
+            size = 0
+            for t in texts:
+                group.append(t)
+                size += len(t)
+                if size >= GROUP_CHARS:
+                    yield from tokens.encode_all(group)
+                    group, size = [], 0
+            yield from tokens.encode_all(group)
+
         def block() -> pa.RecordBatch:
             nonlocal used
             pieces = pack([len(i) for i in ids], length)
@@ -172,8 +238,8 @@ def pack_documents(
         arrow_key = pa.int64()
         for batch in batches:
             arrow_key = batch.schema.field(0).type
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = (tokens.tokenizer.encode(t or "", add_special_tokens=False).ids if plain else tokens.encode(t or "")) if t else ()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for k, own in zip(batch.column(0).to_pylist(), encoded(texts), strict=True):
                 own = np.append(np.asarray(own, tokens.dtype), tokens.dtype(end_id))
                 if ids and held + len(own) > BLOCK_TOKENS:
                     yield block()

@@ -56,11 +56,15 @@ def test_costs_are_balanced():
 
 def test_chunked_ids_equal_the_tokenizers(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
-    texts = [r.text for r in docs] + ["", " ", "\n\n a\tb　c\x1cd  e", "İstanbul ΣΑΣ Ǆ é ́x", "<|endoftext|>a b<|endoftext|>", "don't 12 3,4 x" * 50]
-    t, plain = packing.ChunkTokens(PATH), Tokenizer.from_file(PATH)
-    assert packing.chunks_are_safe(PATH)
+    texts = [r.text for r in docs] + ["", " ", "\n\n a\tb　c\x1cd  e", "İstanbul ΣΑΣ Ǆ é ́x", "<|endoftext|>a b<|endoftext|>", "don't 12 3,4 x" * 50, "_a__b ½²³ ªº ŉ it'ſ 'S 'll rock'n'roll", "a\xa0b\x85c\u2003d\xade", "".join(map(chr, range(1, 600)))]
+    t, plain = packing.WordTokens(PATH), Tokenizer.from_file(PATH)
+    assert packing.words_are_known(PATH)
     for x in texts:
         assert t.encode(x).tolist() == plain.encode(x, add_special_tokens=False).ids
+    t.clear()
+    t.MOST = 50  # a full generation at every step
+    got = [i.tolist() for at in range(0, len(texts), 7) for i in t.encode_all(texts[at : at + 7])]
+    assert got == [plain.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_query_rows(spark):
