@@ -2,9 +2,10 @@
 
 Documents are read as passages of ``2 * WINDOW`` words that overlap by half, so that any item of up to ``WINDOW`` words
 lies whole in one; longer items are indexed in parts of ``WINDOW`` words. Impacts are divided by the item's threshold
-(``THRESHOLD`` of its score against itself), so every item is due at a score of 1. An item can only be due in a passage
-that holds one of its essential words (its other words together stay below 1); passages without any are passed over.
-For the rest, the block maxima of the words' posting lists bound the score of each block of items, blocks that can't
+(``THRESHOLD`` of its score against itself), so every item is due at a score of 1. An item's words outside its essential
+ones are worth ``REST`` at most, so it can only be due where its essential words are worth what is then missing. That
+sum is taken over a document first, then over its passages, from the few essential words in them; where no item gets
+there, none is due. For the passages left, the block maxima of the words' posting lists bound the score of each block of items, blocks that can't
 reach 1 are never opened, and items of the others are scored. Every item that is due is then verified: its question
 and its answer must each be found in the passage, in order, by ``OVERLAP`` of their words.
 
@@ -33,6 +34,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 WINDOW = 64
+#: What the words of an item outside its essential ones are worth at most, in units of its threshold.
+REST = 0.8
 #: Postings of a block-max block.
 BLOCK = 64
 BLOCK_ITEMS = 20_000
@@ -79,7 +82,8 @@ class ItemIndex:
     terms: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     block_max: np.ndarray | None = None
-    essential: frozenset[str] = frozenset()
+    essential: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
+    needed: list[float] = field(default_factory=list)
 
     @classmethod
     def build(cls, items: Sequence[tuple[object, str | None]]) -> ItemIndex:
@@ -96,21 +100,20 @@ class ItemIndex:
         rows_with = Counter(w for bag in bags for w in bag)
         mean = sum(sum(b.values()) for b in bags) / n if n else 1.0
         lists: dict[str, list[tuple[int, float]]] = {}
-        essential: set[str] = set()
         for d, bag in enumerate(bags):
             size = sum(bag.values())
             impact = {
                 w: math.log(1 + (n - rows_with[w] + 0.5) / (rows_with[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * size / mean)) for w, c in bag.items()
             }
             due = THRESHOLD * sum(impact.values())
-            other = 1.0
+            rest = sum(impact.values()) / due
             # long words are the rare ones in a corpus; which words are taken changes the speed only
             for w in sorted(bag, key=lambda w: (-len(w), w)):
                 lists.setdefault(w, []).append((d, impact[w] / due))
-                if other >= 1.0 - 1e-9:
-                    essential.add(w)
-                    other = sum(impact[x] for x in bag if x not in essential) / due
-        index.essential = frozenset(essential)
+                if rest > REST:
+                    index.essential.setdefault(w, []).append((d, impact[w] / due))
+                    rest -= impact[w] / due
+            index.needed.append(1.0 - max(rest, 0.0) - 1e-9)
         blocks = -(-n // BLOCK) if n else 0
         index.block_max = np.zeros((len(lists), blocks))
         for t, (w, posts) in enumerate(lists.items()):
@@ -140,11 +143,23 @@ class ItemIndex:
         """Item to (highest score in units of its threshold, first word of the passage, words of the item in it)."""
         words = words_of(text)
         essential = self.essential
-        hits = [i for i, w in enumerate(words) if w in essential]
+        hits = [(i, w) for i, w in enumerate(words) if w in essential]
         found: dict[int, tuple[float, int, int]] = {}
-        if not hits:
+        worth: dict[int, float] = {}
+        for w in {w for _, w in hits}:
+            for part, impact in essential[w]:
+                worth[part] = worth.get(part, 0.0) + impact
+        open_parts = {part for part, total in worth.items() if total >= self.needed[part]}
+        if not open_parts:
             return found
-        starts = sorted({s * WINDOW for i in hits for s in (i // WINDOW - 1, i // WINDOW) if s >= 0})
+        inside: dict[tuple[int, int], dict[str, float]] = {}  # by passage and item, the essential words in it
+        for i, w in hits:
+            for part, impact in essential[w]:
+                if part in open_parts:
+                    for s in (i // WINDOW - 1, i // WINDOW):
+                        if s >= 0:
+                            inside.setdefault((s * WINDOW, part), {})[w] = impact
+        starts = sorted({start for (start, part), own in inside.items() if sum(own.values()) >= self.needed[part]})
         for start in starts:
             passage = words[start : start + 2 * WINDOW]
             if start and len(passage) <= WINDOW:
