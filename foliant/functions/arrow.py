@@ -10,6 +10,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores where a small input has fewer partitions; a large one is left where it is."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def map_rows(df: DataFrame, schema: StructType, rows: Callable[..., Iterable[tuple]], most: int = 2048) -> DataFrame:
     """``rows(*values)`` for each input row gives output rows; batches stay small, so one document's rows bound the memory."""
 
@@ -25,7 +33,7 @@ def map_rows(df: DataFrame, schema: StructType, rows: Callable[..., Iterable[tup
         if out:
             yield _batch(out, arrow)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
