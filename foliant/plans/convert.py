@@ -5,6 +5,8 @@ Refusals are rows: a source without a route, or one that breaks a limit, has ``f
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from foliant.functions import text as X
 from foliant.functions.arrow import map_rows
 from foliant.functions.html_markdown import Refusal, block_lines, render_html
 from foliant.session import cut_lineage
-from foliant.sources import mail, office, workbooks
+from foliant.sources import mail, office, pdf, workbooks
 from foliant.sources.charset import decode_html
 from foliant.sources.mail import mime_parts
 from foliant.sources.packages import members
@@ -45,6 +47,7 @@ _READERS = {
     "odt": lambda raw, *_: office.odt_units(raw),
     "odp": lambda raw, *_: office.odp_units(raw),
     "epub": lambda raw, *_: office.epub_units(raw),
+    "pdf": lambda raw, *_: pdf.pdf_units(raw),
     "sheet": lambda raw, suffix, *_: workbooks.workbook_units(raw, suffix),
 }
 
@@ -64,7 +67,7 @@ def units(sources: DataFrame, article: bool = False, links: bool = True, sheets:
                 found = reader(content or b"", suffix, article, links)
             except Refusal:
                 raise
-            except (ValueError, KeyError, IndexError, OSError, OverflowError, RecursionError, LookupError, EOFError) as exc:
+            except (ValueError, KeyError, IndexError, OSError, OverflowError, RecursionError, LookupError, EOFError, TypeError, AttributeError, struct.error) as exc:
                 raise Refusal(f"{route} unreadable: {exc}") from exc
             if sheets is not None and route == "sheet":
                 names = [label for label, _ in found]

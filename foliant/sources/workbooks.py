@@ -1,4 +1,4 @@
-"""Workbooks (.xlsx, .xlsm, .ods) as cells, and their addressed grids as blocks."""
+"""Workbooks (.xlsx, .xlsm, .xlsb, .xls, .ods) as cells, and their addressed grids as blocks."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from foliant.functions import markdown as md
 from foliant.functions.arrow import map_rows
 from foliant.functions.html_markdown import Block, Refusal
 from foliant.operators.grid import DENSE_POSITIONS, LAST_COLUMN, LAST_ROW, shift_formula
+from foliant.sources.biff import xls_cells, xlsb_cells
 from foliant.sources.packages import Package, local
 
 CELLS = T.StructType(
@@ -143,7 +144,8 @@ def ods_cells(raw: bytes):
 
 
 def cell_rows(raw: bytes, suffix: str):
-    return ods_cells(raw) if suffix == ".ods" else xlsx_cells(raw)
+    """Cells of a workbook by its suffix."""
+    return {".ods": ods_cells, ".xls": xls_cells, ".xlsb": xlsb_cells}.get(suffix, xlsx_cells)(raw)
 
 
 def workbook_cells(sources: DataFrame) -> DataFrame:
