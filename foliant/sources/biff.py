@@ -92,6 +92,8 @@ def xls_cells(raw: bytes) -> Iterator[Cell]:
     sheets: list[tuple[int, str, str]] = []
     shared: list[bytes] = []
     last = 0
+    if book[:2] != struct.pack("<H", BOF):
+        raise Refusal("BIFF version refused")
     for _, kind, data in records(book):
         if kind == BOF and struct.unpack_from("<H", data)[0] != 0x0600:
             raise Refusal("BIFF version refused")
