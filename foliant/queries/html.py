@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import collapse_space
 from foliant.operators import html as H
+from foliant.operators import inspection as I
 from foliant.operators import urls
+from foliant.operators.relations import CAPABILITIES
+from foliant.plans.convert import convert, page_units
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,3 +176,41 @@ QUERIES = {
     ),
     "url_hosts": (url_hosts, f"SELECT {_HOST} AS host, count(*) AS pages FROM pages GROUP BY 1"),
 }
+
+
+def _sources(spark, sf):
+    return page_units(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def inspection_counts(spark, sf):
+    found = I.findings(_sources(spark, sf)).where("kind in ('script', 'style-sheet', 'meta', 'comment', 'relative', 'external')")
+    return found.groupBy(F.col("source_id").alias("page_id"), "capability").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inspection_reports(spark, sf):
+    return I.reports(_sources(spark, sf)).withColumnRenamed("source_id", "page_id")
+
+
+def inspection_coverage(spark, sf):
+    src = _sources(spark, sf)
+    return I.coverage(src, I.findings(src)).groupBy("capability", "status").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def converted_pages(spark, sf):
+    return convert(_sources(spark, sf)).select(F.col("source_id").alias("page_id"), "file_ok", "units", "sha256", "body_sha256", "receipt")
+
+
+QUERIES |= {
+    "inspection_counts": (
+        inspection_counts,
+        r"""SELECT page_id, capability, n FROM (SELECT page_id, 'links' AS capability, len(regexp_extract_all(html, '<a href'))::BIGINT AS n FROM pages
+ UNION ALL SELECT page_id, 'active_content', len(regexp_extract_all(html, '<script'))::BIGINT FROM pages UNION ALL SELECT page_id, 'styles', len(regexp_extract_all(html, '<style'))::BIGINT FROM pages
+ UNION ALL SELECT page_id, 'metadata', len(regexp_extract_all(html, '<meta'))::BIGINT FROM pages UNION ALL SELECT page_id, 'comments', len(regexp_extract_all(html, '<!--'))::BIGINT FROM pages) WHERE n > 0""",
+    ),
+    "inspection_reports": (inspection_reports, None),
+    "inspection_coverage": (
+        inspection_coverage,
+        f"SELECT capability, 'complete' AS status, count(*) AS pages FROM pages CROSS JOIN (SELECT unnest([{', '.join(repr(c) for c in CAPABILITIES)}]) AS capability) GROUP BY capability",
+    ),
+    "converted_pages": (converted_pages, None),
+}
