@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from foliant.functions import markdown as md
@@ -20,6 +21,13 @@ BLOCKS = frozenset(
 EMPHASIS = {"em": "*", "i": "*", "strong": "**", "b": "**"}
 LANDMARKS = frozenset({"nav", "header", "footer", "aside"})
 LANDMARK_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary"})
+ROLES = frozenset(
+    "alert alertdialog application article banner blockquote button caption cell checkbox code columnheader combobox complementary contentinfo definition "
+    "deletion dialog directory document emphasis feed figure form generic grid gridcell group heading img insertion link list listbox listitem log main "
+    "marquee math menu menubar menuitem menuitemcheckbox menuitemradio meter navigation none note option paragraph presentation progressbar radio "
+    "radiogroup region row rowgroup rowheader scrollbar search searchbox separator slider spinbutton status strong subscript superscript switch tab table "
+    "tablist tabpanel term textbox time timer toolbar tooltip tree treegrid treeitem".split()
+)
 LAYOUT = HEADINGS | {"p", "div", "ul", "ol", "table", "blockquote", "pre"}
 DISPLAYS = frozenset("none block inline inline-block flex grid table table-row table-cell list-item".split())
 VISIBILITIES = frozenset("hidden visible collapse".split())
@@ -55,7 +63,9 @@ def dropped(node: Node) -> bool:
 
 
 def role(node: Node) -> str:
-    return next((t for t in _SPACE.split(node.attrs.get("role", "").lower()) if t), "")
+    """The first known role of an element; ``other`` if its roles are all unknown, empty without any."""
+    tokens = [t for t in _SPACE.split(node.attrs.get("role", "").lower()) if t]
+    return next((t for t in tokens if t in ROLES), "other" if tokens else "")
 
 
 def target_class(href: str | None) -> str:
@@ -456,7 +466,9 @@ def block_lines(blocks: list[Block]) -> list[str]:
     out: list[str] = []
     last = ""
     previous: str | None = None
-    for chunk_kind, lines in _chunks(blocks):
+    for chunk_kind, lines in (c for block in _marked(blocks) for c in block):
+        if chunk_kind.startswith("^"):  # a list of its own
+            chunk_kind, last = chunk_kind[1:], "text" if last != "lead" else last
         if out and not (last in ("list", "lead") and chunk_kind in ("list", "lead")) and last != "lead":
             out.append("")
         elif out and last == "list" and chunk_kind == "list" and previous is not None:
@@ -469,6 +481,15 @@ def block_lines(blocks: list[Block]) -> list[str]:
     return out
 
 
+def _marked(blocks: list[Block]) -> Iterator[list[tuple[str, list[str]]]]:
+    """Chunks block by block, the first of each list marked."""
+    whole, at = _chunks(blocks), 0
+    for block in blocks:
+        n = len(_chunks([block])) if block.kind == "list" else 1
+        own, at = whole[at : at + n], at + n
+        yield [(f"^{own[0][0]}", own[0][1]), *own[1:]] if block.kind == "list" else own
+
+
 def _chunks(blocks: list[Block]) -> list[tuple[str, list[str]]]:
     out: list[tuple[str, list[str]]] = []
     before: tuple[bool, str] | None = None  # ordered, delimiter of a list that ends right before
