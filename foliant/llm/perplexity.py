@@ -35,6 +35,8 @@ MARGIN = 1.1
 PRIOR = 300
 CALIBRATION = 4
 LEAST = 30
+#: Languages with a threshold of their own; more are an error.
+LANGUAGES = 1_000
 #: Trusted ids up to this number are sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _CHUNK = 1 << 22
@@ -183,7 +185,9 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTIL
     held = scored.where("_symbols > 0").join(ids.where("_aside").select("doc_id"), "doc_id", "left_semi")
     means = held.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), (F.sum("_nll") / F.sum("_symbols")).alias("_mean")).where(f"_n >= {LEAST} and lang is not null")
     overall = held.agg((F.sum("_nll") / F.sum("_symbols")).alias("m")).first()["m"]
-    level = {r["lang"]: r["_mean"] for r in means.limit(10_000).collect()}
+    level = {r["lang"]: r["_mean"] for r in means.limit(LANGUAGES + 1).collect()}
+    if len(level) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
 
     def drawn(df: DataFrame) -> DataFrame:
         table = _levels(df, level, overall)
@@ -210,7 +214,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTIL
 
 
 def _levels(df: DataFrame, by_lang: dict[str, float], other: float | None, name: str = "_level") -> DataFrame:
-    """A constant per language as a column; languages are few (10,000 at most)."""
+    """A constant per language as a column; languages are few (``LANGUAGES`` at most)."""
     pick = F.lit(other).cast("double")
     if by_lang:
         table = F.create_map(*[x for k, v in sorted(by_lang.items()) for x in (F.lit(k), F.lit(float(v)))])
