@@ -1,0 +1,94 @@
+"""Page geometry over lines and boxes: overlaps, snapped places, column starts, tabular lines, ruled bands and components."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from foliant.session import cut_lineage
+
+
+def overlap(a: str, b: str) -> Column:
+    """Whether boxes with columns prefixed ``a`` and ``b`` share an area."""
+    c = F.col
+    return (c(f"{a}x0") < c(f"{b}x1")) & (c(f"{b}x0") < c(f"{a}x1")) & (c(f"{a}top") < c(f"{b}bottom")) & (c(f"{b}top") < c(f"{a}bottom"))
+
+
+def overlapping(boxes: DataFrame, others: DataFrame, keys: list[str], cell: float = 64.0) -> DataFrame:
+    """Pairs of boxes of two kinds on a page that overlap: met in grid cells, so a box sees its own neighbourhood only."""
+
+    def celled(df: DataFrame, p: str) -> DataFrame:
+        named = df.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in ("id", "x0", "x1", "top", "bottom")])
+        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}{lo}") / cell), F.floor(F.col(f"{p}{hi}") / cell))
+        return named.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("top", "bottom")))
+
+    met = celled(boxes, "a_").join(celled(others, "b_"), [*keys, "_cx", "_cy"]).where(overlap("a_", "b_"))
+    return met.select(*keys, "a_id", "b_id").distinct()
+
+
+def snapped(values: DataFrame, keys: list[str], value: str, tolerance: float = 3.0) -> DataFrame:
+    """Each value with the mean of its run of neighbours no further apart than the tolerance."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    run = F.sum(F.when(F.col(value) - F.lag(value).over(w) > tolerance, 1).otherwise(0)).over(w)
+    grouped = values.withColumn("_run", run)
+    return grouped.withColumn("snapped", F.avg(value).over(Window.partitionBy(*keys, "_run"))).drop("_run")
+
+
+def column_starts(words: DataFrame, keys: list[str], x: str, line: str, tolerance: float = 3.0) -> DataFrame:
+    """(keys, start, lines): starts that at least two and half of a band's lines share, within a tolerance of the first of a cluster.
+
+    A cluster is measured from its first member, which depends on those before it, so each band is walked in one task; a
+    band is part of a page.
+    """
+    names = [*keys, x, line]
+
+    def walk(band: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
+        out, total = [], band[line].nunique()
+        first, members = None, set()
+        for value, at in sorted(zip(band[x], band[line])):
+            if first is None or value - first > tolerance:
+                if len(members) >= max(2, total / 2):
+                    out.append((first, len(members)))
+                first, members = value, set()
+            members.add(at)
+        if len(members) >= max(2, total / 2):
+            out.append((first, len(members)))
+        made = pd.DataFrame(out, columns=["start", "lines"])
+        for k in keys:
+            made.insert(len(made.columns) - 2, k, band[k].iloc[0])
+        return made
+
+    schema = ", ".join([*(f"{k} {dict(words.dtypes)[k]}" for k in keys), "start double", "lines long"])
+    return words.select(*names).withColumn(x, F.col(x).cast("double")).groupBy(*keys).applyInPandas(walk, schema)
+
+
+def tabular_lines(gaps: DataFrame, keys: list[str], gap: str, unit: str) -> DataFrame:
+    """Whether a line has two gaps or more that are as wide as four points and two and a half spaces."""
+    return gaps.groupBy(*keys).agg((F.count_if(F.col(gap) >= F.greatest(F.lit(4.0), 2.5 * F.col(unit))) >= 2).alias("tabular"))
+
+
+def ruled_bands(rows: DataFrame, keys: list[str], filled: str) -> DataFrame:
+    """Bands of which at least a third of the rows fill three columns or more."""
+    return rows.groupBy(*keys).agg(((F.count_if(F.col(filled) >= 3) * 3) >= F.count(F.lit(1))).alias("is_table"))
+
+
+def numeric_text(text: Column) -> Column:
+    """Whether a cell is a number with its usual signs."""
+    return F.trim(text).rlike(r"^[(+\-]?[$€£]?\s?\d[\d,. ]*\)?\s?%?$")
+
+
+def touching(edges: DataFrame, nodes: DataFrame, keys: list[str], most_rounds: int = 50) -> DataFrame:
+    """(keys, id, component): least id reachable over touching segments of a page, by spreading minima along edges."""
+    both = cut_lineage(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut_lineage(nodes.select(*keys, "id", F.col("id").alias("component")))
+    for _ in range(most_rounds):
+        near = both.join(label.withColumnRenamed("id", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("component").alias("_near"))
+        moved = label.join(near, [*keys, "id"], "left").select(*keys, "id", F.least("component", F.coalesce("_near", "component")).alias("component"), (F.coalesce("_near", "component") < F.col("component")).alias("_moved"))
+        moved = cut_lineage(moved)
+        label = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            return label
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
