@@ -7,6 +7,7 @@ import os
 import sys
 
 from foliant.plans.convert import convert
+from foliant.selfcheck import self_check
 from foliant.session import build_session
 from foliant.sources.files import scan
 from foliant.sources.sinks import write_files
@@ -14,7 +15,8 @@ from foliant.sources.sinks import write_files
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="foliant", description="Documents to Markdown.")
-    p.add_argument("document", help="a file or a folder")
+    p.add_argument("document", nargs="?", help="a file or a folder")
+    p.add_argument("--self-check", action="store_true", help="convert built-in documents twice and compare")
     p.add_argument("--out", help="folder for Markdown files, named after their sources")
     p.add_argument("--article", action="store_true", help="HTML: the article or main content only")
     p.add_argument("--no-links", action="store_true", help="HTML: no link targets")
@@ -26,7 +28,11 @@ def build_parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
-    if not os.path.exists(args.document):
+    if args.self_check:
+        wrong = self_check(build_session(args.master))
+        print("\n".join(wrong) or "self-check passed")
+        return int(bool(wrong))
+    if args.document is None or not os.path.exists(args.document):
         print(f"no such file: {args.document}", file=sys.stderr)
         return 2
     spark = build_session(args.master)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foliant.operators import artifacts as A
 from foliant.operators import geometry as G
 from foliant.sources.files import scan
-from tests import documents as D
+from foliant.sources import synthetic as D
 
 
 def literal(data: bytes) -> bytes:

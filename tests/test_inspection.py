@@ -6,7 +6,7 @@ from foliant.functions import scanners as S
 from foliant.operators import inspection as I
 from foliant.plans.convert import page_units
 from foliant.sources.files import scan
-from tests import documents as D
+from foliant.sources import synthetic as D
 
 
 def test_scanners():

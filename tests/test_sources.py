@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from foliant.functions.html_markdown import Refusal
 from foliant.operators import grid as G
 from foliant.plans import convert as C
+from foliant.selfcheck import self_check
 from foliant.sources import charset, compound, packages, sinks, workbooks
 from foliant.sources.files import scan
 from foliant.streaming import files as stream
-from tests import documents as D
+from foliant.sources import synthetic as D
 
 FILES = {
     "a.docx": D.docx(), "b.pptx": D.pptx(), "c.xlsx": D.xlsx(), "d.odt": D.odt(), "e.odp": D.odp(), "f.ods": D.ods(), "g.epub": D.epub(), "h.eml": D.EML,
@@ -166,3 +167,7 @@ def test_determinism_under_partitions(spark, folder):
         found.append(sorted((r.name, r.body_sha256 or "") for r in C.convert(scan(spark, folder)).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert found[0] == found[1]
+
+
+def test_self_check(spark):
+    assert self_check(spark) == []
