@@ -14,12 +14,17 @@ def held_out(doc_id: Column) -> Column:
 def bounded_sample(keys: DataFrame, group: str, most: int, groups: int = 256) -> DataFrame:
     """At most ``most`` rows of each value of ``group``, the first by a hash of ``doc_id``, for ``groups`` values at most.
 
-    The window ranks only ids, and Spark keeps the first ``most`` of a group in every task before it shuffles, so a
-    group with most of the rows stays cheap. ``groups`` bounds what the driver may receive; more values than that is
-    an error, not a silent cut.
+    The values are counted first, and of each only the rows below a hash that some ``3 * most`` of them are expected to
+    lie below go on; so what is ranked is bounded, however frequent a value is. ``groups`` bounds what the driver may
+    receive; more values than that is an error, not a silent cut. The group column holds no nulls.
     """
-    order = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
-    if (n := chosen.select(group).distinct().limit(groups + 1).count()) > groups:
-        raise ValueError(f"more than {groups} values of {group} to learn ({n} seen)")
-    return chosen
+    sizes = {r[0]: r[1] for r in keys.groupBy(group).count().limit(groups + 1).collect()}
+    if len(sizes) > groups:
+        raise ValueError(f"more than {groups} values of {group} to learn")
+    if not sizes:
+        return keys.limit(0)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    below = F.create_map(*[F.lit(x) for value, n in sorted(sizes.items()) for x in (value, (2**63 - 1) * min(n, 3 * most) // n)])
+    likely = keys.withColumn("_place", place).where(F.col("_place") <= F.element_at(below, F.col(group)))
+    order = Window.partitionBy(group).orderBy("_place", "doc_id")
+    return likely.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank", "_place")
