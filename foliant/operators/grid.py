@@ -58,8 +58,10 @@ def occupied_range(cells: DataFrame, keys: list[str]) -> DataFrame:
 def merged_cells(cells: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
     """Each cell with the first merged area that holds it: an equi-join on the sheet and row bands, then containment.
 
-    Areas are exploded into bands of 64 rows, so a cell meets only the areas of its band and not all of its sheet's.
+    Areas are exploded into bands of 64 rows, so a cell meets only the areas of its band and not all of its sheet's. Of
+    areas over the same cells only the first goes on.
     """
+    merges = merges.groupBy(*keys, "top", "left", "bottom", "right").agg(F.min("ord").alias("ord"))
     band = F.explode(F.sequence(F.floor(F.col("top") / 64), F.floor(F.col("bottom") / 64))).alias("_band")
     areas = merges.select(*keys, "top", "left", "bottom", "right", "ord", band)
     inside = (F.col("row").between(F.col("top"), F.col("bottom"))) & (F.col("col").between(F.col("left"), F.col("right")))

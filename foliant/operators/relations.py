@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.session import cut_lineage
+
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by order, as one grouped maximum (no window sort)."""
@@ -39,17 +41,27 @@ def inherited(nodes: DataFrame, value: str, key: str = "id", parent: str = "pare
     return nodes.drop(value).join(best, key, "left")
 
 
-def fallback_chain(spark: SparkSession, items: DataFrame, most: int = 64) -> DataFrame:
-    """(id, target): follow ``fallback`` until an item is ``usable``; null at a cycle or a dead end. A recursive CTE."""
-    items.createOrReplaceTempView("_fallback_items")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(id, at, usable, next, path, n) AS (
-            SELECT id, id, usable, fallback, array(id), 1 FROM _fallback_items
-            UNION ALL
-            SELECT c.id, i.id, i.usable, i.fallback, array_append(c.path, i.id), c.n + 1
-            FROM chain c JOIN _fallback_items i ON i.id = c.next
-            WHERE NOT c.usable AND NOT array_contains(c.path, i.id) AND c.n < {int(most)})
-        SELECT id, min_by(CASE WHEN usable THEN at END, CASE WHEN usable THEN n END) AS target FROM chain GROUP BY id""")
+def fallback_chain(spark: SparkSession, items: DataFrame) -> DataFrame:
+    """(id, target): follow ``fallback`` until an item is ``usable``; null at a cycle or a dead end.
+
+    Each round doubles the hops that a row has behind it, so chains of any length close in log2 rounds; what is open after as
+    many hops as there are items is on a cycle. An id with different rows is an error.
+    """
+    rows = items.select("id", "usable", "fallback").distinct()
+    n, ids = rows.agg(F.count("id"), F.countDistinct("id")).first()
+    if n != ids:
+        raise ValueError("an id has different fallbacks")
+    known = rows.select(F.col("id").alias("fallback"), F.lit(True).alias("_known"))
+    onward = F.coalesce(~F.col("usable") & F.col("_known"), F.lit(False))
+    start = rows.join(known, "fallback", "left")
+    state = cut_lineage(start.select("id", F.when(onward, F.col("fallback")).otherwise(F.col("id")).alias("at"), onward.alias("open"), F.coalesce("usable", F.lit(False)).alias("good")))
+    hops = 1
+    while hops < n and not state.where("open").isEmpty():
+        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("open").alias("_open"), F.col("good").alias("_good"))
+        moved = state.where("open").select("id", "at").join(ahead, "at").select("id", F.col("_at").alias("at"), F.col("_open").alias("open"), F.col("_good").alias("good"))
+        state = cut_lineage(state.where("not open").unionByName(moved))
+        hops *= 2
+    return state.select("id", F.when(~F.col("open") & F.col("good"), F.col("at")).alias("target"))
 
 
 def multiset_anti(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -111,6 +111,64 @@ def fallback_chain(spark, sf):
     return R.fallback_chain(spark, items)
 
 
+# The queries above that read a part of their tables, as their SQL does, over all of them. Brute force takes the place of SQL.
+
+
+def merge_range_join_whole(spark, sf):
+    cells = _cells(spark, sf).select("sheet", "row", "col").distinct()
+    areas = _t(spark, sf, "orders").select(
+        (F.col("o_custkey") % 100 + 1).alias("sheet"), (F.col("o_orderkey") % 450 + 1).alias("top"), (F.col("o_orderkey") % 40 + 1).alias("left"), F.col("o_orderkey").alias("ord")
+    )
+    areas = areas.withColumns({"bottom": F.col("top") + F.col("ord") % 90, "right": F.col("left") + 9})
+    return G.merged_cells(cells, areas, ["sheet"])
+
+
+def readable_cells_whole(spark, sf):
+    """Every order as a native cell and as a shown value; every third and every fourth stand in columns of their own, where the other side is empty."""
+    o = _t(spark, sf, "orders")
+    state = F.when(F.col("o_orderkey") % 11 == 0, "error").when(F.col("o_orderkey") % 7 == 0, "missing").when(F.col("o_orderkey") % 5 == 0, "blank").otherwise("value")
+    at = lambda n, col: [(F.col("o_orderkey") % 10).alias("sheet"), F.col("o_orderkey").alias("row"), F.when(F.col("o_orderkey") % n == 0, col).otherwise(1).alias("col")]
+    native = o.select(*at(3, 2), F.col("o_orderstatus").alias("value"), state.alias("state"))
+    return G.readable_cells(native, o.select(*at(4, 3), F.col("o_orderpriority").alias("value")), ["sheet"])
+
+
+def addressed_grid_whole(spark, sf):
+    return G.addressed_rows(_cells(spark, sf).groupBy("sheet", "row", "col").agg(F.min("l_returnflag").alias("text")), ["sheet"])
+
+
+def repeat_expansion_whole(spark, sf):
+    runs = _t(spark, sf, "orders").select(
+        "o_orderkey", F.lit(1).cast("long").alias("row"), F.lit(1).cast("long").alias("col"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("value"),
+        (F.col("o_orderkey") % 4 + 1).cast("int").alias("row_repeat"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("col_repeat"),
+    )
+    return G.expand_repeats(runs).select("o_orderkey", "row", "col", "value", "kind")
+
+
+def shared_formulas_whole(spark, sf):
+    """All orders as sheets of 2,000 rows; the first twenty rows of a sheet are its masters."""
+    row = F.col("o_orderkey") % 2000 + 1
+    cells = _t(spark, sf, "orders").select(
+        F.floor(F.col("o_orderkey") / 2000).alias("sheet"), (row % 20).alias("shared"), row.alias("row"), F.lit(3).cast("long").alias("col"),
+        F.when(row <= 20, F.concat(F.lit("SUM(A"), row.cast("string"), F.lit(":$B$1)+C1"))).alias("formula"),
+    )
+    return G.shared_formulas(cells, ["sheet"]).select("sheet", "row", "formula")
+
+
+def inherited_attributes_whole(spark, sf):
+    """The page tree over all orders, under order 0; a path has as many levels as its id has digits to base 4, and the root."""
+    ids = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderstatus")).alias("rotation"))
+    digits = "cast(if(id = 0, 0, ceil(length(bin(id)) / 2)) as int)"
+    return R.inherited(ids.withColumn("path", F.expr(f"transform(sequence({digits}, 0, -1), k -> shiftright(id, 2 * k))")), "rotation").select("id", "rotation")
+
+
+def fallback_chain_whole(spark, sf):
+    part = _t(spark, sf, "part")
+    items = part.select(
+        F.col("p_partkey").alias("id"), (F.col("p_size") > 25).alias("usable"), F.when(F.col("p_partkey") % 9 != 0, (F.col("p_partkey") * 7) % max(part.count(), 1) + 1).alias("fallback")
+    )
+    return R.fallback_chain(spark, items)
+
+
 def xref_versions(spark, sf):
     rows = _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("object_id"), F.struct((-F.col("l_orderkey")).alias("revision"), "l_linenumber", "l_suppkey").alias("precedence"), "l_orderkey")
     return R.versions(rows, ["object_id"], "precedence").select("object_id", F.col("l_orderkey").alias("revision"))
@@ -296,4 +354,11 @@ QUERIES = {
         """SELECT user_id, CASE WHEN bool_or(value > 40) AND bool_or(value < 1) THEN 'partial' WHEN bool_or(value > 40) THEN 'unavailable' ELSE arg_max(event_type, event_id) END AS status,
  coalesce(string_agg(event_type, '; ' ORDER BY event_id) FILTER (value > 40), '') AS reason FROM events GROUP BY user_id""",
     ),
+    "merge_range_join_whole": (merge_range_join_whole, None),
+    "readable_cells_whole": (readable_cells_whole, None),
+    "addressed_grid_whole": (addressed_grid_whole, None),
+    "repeat_expansion_whole": (repeat_expansion_whole, None),
+    "shared_formulas_whole": (shared_formulas_whole, None),
+    "inherited_attributes_whole": (inherited_attributes_whole, None),
+    "fallback_chain_whole": (fallback_chain_whole, None),
 }
