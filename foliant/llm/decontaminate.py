@@ -1,13 +1,14 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried by every passage with block-max pruning.
 
 Documents are read as passages of ``2 * WINDOW`` words that overlap by half, so that any item of up to ``WINDOW`` words
-lies whole in one; longer items are indexed in parts of ``WINDOW`` words. Impacts are divided by the item's threshold
+lies whole in one; longer items are indexed in parts of ``WINDOW`` words, which only find the place. Impacts are divided by the item's threshold
 (``THRESHOLD`` of its score against itself), so every item is due at a score of 1. An item's words outside its essential
 ones are worth ``REST`` at most, so it can only be due where its essential words are worth what is then missing. That
 sum is taken over a document first, then over its passages, from the few essential words in them; where no item gets
 there, none is due. For the passages left, the block maxima of the words' posting lists bound the score of each block of items, blocks that can't
-reach 1 are never opened, and items of the others are scored. Every item that is due is then verified: its question
-and its answer must each be found in the passage, in order, by ``OVERLAP`` of their words.
+reach 1 are never opened, and items of the others are scored. Every item that is due is then verified as a whole: its
+question and its answer must each be found in the passage, in order, by ``OVERLAP`` of their words. For an item of several
+parts, the passage is widened by twice the words that the item has before and after the part that is due.
 
 The index is cut into blocks of ``BLOCK_ITEMS`` test items; what a task gets is one such index, whatever the size of the
 benchmark, and each further block is a further pass over the documents.
@@ -78,7 +79,9 @@ class ItemIndex:
     """One block of items: postings in item order with block maxima, and the essential words of each item."""
 
     item_ids: list
-    parts: list[tuple[int, list[str], list[str]]] = field(default_factory=list)  # item, question, answer
+    whole: list[tuple[list[str], list[str]]] = field(default_factory=list)  # question, answer
+    parts: list[tuple[int, list[str], list[str]]] = field(default_factory=list)  # item, question and answer words in the part
+    place: list[tuple[int, int]] = field(default_factory=list)  # words of the item before and after the part
     terms: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     block_max: np.ndarray | None = None
@@ -88,13 +91,14 @@ class ItemIndex:
     @classmethod
     def build(cls, items: Sequence[tuple[object, str | None]]) -> ItemIndex:
         index = cls([i for i, _ in items])
-        whole = [question_and_answer(t or "") for _, t in items]
-        for k, (q, a) in enumerate(whole):
+        index.whole = [question_and_answer(t or "") for _, t in items]
+        for k, (q, a) in enumerate(index.whole):
             w = q + a
             for at in range(0, len(w), WINDOW):
                 cut = min(max(len(q) - at, 0), WINDOW)
                 part = w[at : at + WINDOW]
                 index.parts.append((k, part[:cut], part[cut:]))
+                index.place.append((at, max(len(w) - at - WINDOW, 0)))
         bags = [Counter(q + a) for _, q, a in index.parts]
         n = len(bags)
         rows_with = Counter(w for bag in bags for w in bag)
@@ -139,19 +143,17 @@ class ItemIndex:
             found += [(lo + int(k), float(score[k])) for k in np.flatnonzero(score >= 1.0 - 1e-9)]
         return found
 
-    def search(self, text: str) -> dict[int, tuple[float, int, int]]:
-        """Item to (highest score in units of its threshold, first word of the passage, words of the item in it)."""
-        words = words_of(text)
+    def retrieve(self, words: list[str]) -> Iterator[tuple[int, int, float]]:
+        """(first word of the passage, part, score) of every part that is due in a passage."""
         essential = self.essential
         hits = [(i, w) for i, w in enumerate(words) if w in essential]
-        found: dict[int, tuple[float, int, int]] = {}
         worth: dict[int, float] = {}
         for w in {w for _, w in hits}:
             for part, impact in essential[w]:
                 worth[part] = worth.get(part, 0.0) + impact
         open_parts = {part for part, total in worth.items() if total >= self.needed[part]}
         if not open_parts:
-            return found
+            return
         inside: dict[tuple[int, int], dict[str, float]] = {}  # by passage and item, the essential words in it
         for i, w in hits:
             for part, impact in essential[w]:
@@ -165,10 +167,34 @@ class ItemIndex:
             if start and len(passage) <= WINDOW:
                 continue  # the passage before holds all of it
             for part, score in self.due(set(passage)):
-                item, q, a = self.parts[part]
-                nq, na = common_in_order(q, passage), common_in_order(a, passage)
-                if nq >= OVERLAP * len(q) and na >= OVERLAP * len(a) and score > found.get(item, (0.0,))[0]:
-                    found[item] = (score, start, nq + na)
+                yield start, part, score
+
+    def search(self, text: str) -> dict[int, tuple[float, int, int]]:
+        """Items of which one part is found by itself; ``leaks`` has those that are found as a whole."""
+        words = words_of(text)
+        found: dict[int, tuple[float, int, int]] = {}
+        for start, part, score in self.retrieve(words):
+            passage = words[start : start + 2 * WINDOW]
+            item, q, a = self.parts[part]
+            nq, na = common_in_order(q, passage), common_in_order(a, passage)
+            if nq >= OVERLAP * len(q) and na >= OVERLAP * len(a) and score > found.get(item, (0.0,))[0]:
+                found[item] = (score, start, nq + na)
+        return found
+
+    def leaks(self, text: str) -> dict[int, tuple[float, int, int]]:
+        """Item to (highest score in units of its threshold, first word of the passage, words of the item in it)."""
+        words = words_of(text)
+        found: dict[int, tuple[float, int, int]] = {}
+        for start, part, score in self.retrieve(words):
+            item = self.parts[part][0]
+            if score <= found.get(item, (0.0,))[0]:
+                continue
+            (q, a), (left, right) = self.whole[item], self.place[part]
+            first = max(start - 2 * left, 0)
+            passage = words[first : start + 2 * (WINDOW + right)]
+            nq, na = common_in_order(q, passage), common_in_order(a, passage)
+            if nq >= OVERLAP * len(q) and na >= OVERLAP * len(a):
+                found[item] = (score, first, nq + na)
         return found
 
 
@@ -206,7 +232,7 @@ def find_leaks(
             for batch in batches:
                 rows, out = [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
-                    for k, (score, start, n) in sorted(index.search(t or "").items()):
+                    for k, (score, start, n) in sorted(index.leaks(t or "").items()):
                         rows.append(i)
                         out.append((index.item_ids[k], score, start, n))
                 if rows:
@@ -238,7 +264,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     def without(df: DataFrame, index: ItemIndex) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not index.search(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.leaks(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return df.mapInArrow(run, df.schema)
 

@@ -59,6 +59,25 @@ def test_search_equals_brute_force():
     assert some > 20
 
 
+def test_long_items_are_verified_as_a_whole(spark):
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    items, docs, want = [], [], set()
+    for k, (nq, na) in enumerate([(64, 1), (64, 30), (10, 55), (130, 70), (33, 200), (500, 400), (20, 10)]):
+        q, a = rng.sample(vocabulary, nq), rng.sample(vocabulary, na)
+        items.append((k, f"{' '.join(q)}? {' '.join(a)}"))
+        thinned = [w for i, w in enumerate(q) if i % 8], [w for i, w in enumerate(a) if i % 8 or na < 5]
+        pad = lambda: rng.choices(["filler", "more"], k=rng.randint(0, 300))
+        for whole, (x, y) in ((True, (q, a)), (True, thinned), (False, (q, [])), (False, ([], a)), (False, (q[: nq // 2], a)), (False, ([], a[-1:]))):
+            docs.append((len(docs), " ".join([*pad(), *x, *y, *pad()])))
+            if whole:
+                want.add((len(docs) - 1, k))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(df, bench).collect()} == want
+    assert {r.doc_id for r in dc.drop_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_common_in_order():
     rng = random.Random(2)
     for _ in range(200):
