@@ -2,14 +2,19 @@
 
 A page becomes lines: one per block, with character references decoded and white space folded. Lines inside elements that
 are never main text (menus, headers and footers of the page, sidebars, notices, adverts, forms, reader comments, scripts,
-styles) are marked as such by tag, role, class or id. Pages are ordered by host and URL path, and each is aligned with the
-neighbour in that order that shares most of its path, by a longest common subsequence of lines; shared lines are the
-site's template and are deleted. Lines inside the page's ``article`` (or, without one, ``main``) are its text by the page's own word:
-they are kept when a neighbour has them too, else every copy of an article would empty the other; so is a page of which
-a neighbour shares most lines (``COPY``), since then the two are copies and not two pages of a template.
+styles) are marked as such by tag, role, class or id. Pages are ordered by host and URL path, and each is aligned by longest
+common subsequences of lines with the pages around it in that order: ``AROUND`` different pages on each side. The nearest
+that is not a copy, by shared path and then by place, decides: the lines it shares are the site's template and are deleted.
+Lines inside the page's ``article`` (or, without one, ``main``) need more: they are deleted when at least ``AGREE`` pages
+that are no copies were compared and all of the nearest ``FURTHER`` of them share the line. Lines outside an article stay unless the
+deciding page has them; tags alone decide where no page but copies could be compared.
 
-The order is a range partitioning by host, path and id, so a host with most of the pages is split over many tasks; a task
-holds three pages at a time. The first or last page of a task has its neighbour on the other side only.
+Two pages are copies if their lines are equal. If they share ``COPY`` of their lines, the pages around tell a copy from a
+large template: what a third page has is taken out of both, and the two are copies unless most third pages leave less than
+``COPY`` in common. A page without an article that has only copies around it keeps all its lines.
+
+The order is a range partitioning by host, path, id and page; a page near the end of a task has the pages around it on one
+side only.
 
 Defined results: a null html counts as empty and gives an empty text; a null or malformed URL counts as an empty host and
 path; repeated rows are each returned; an empty table gives no rows; other input columns are not carried.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +34,8 @@ from pyspark.sql import types as T
 
 #: Share of a page's lines in common with its neighbour from which the two count as copies.
 COPY = 0.8
+#: Different pages looked at on each side; of those that are no copies, how many an article's lines are held against, at least and at most.
+AROUND, AGREE, FURTHER = 4, 2, 4
 
 # Element names of the HTML standard by their role here, and words of class, id or role attributes.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -194,35 +202,58 @@ def _zeros(v: int, n: int) -> int:
     return n - (v & ((1 << n) - 1)).bit_count()
 
 
-def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
-    """The page's lines without those it shares with its neighbour outside its article."""
-    shared: set[int] = set()
-    if neighbour:
-        shared = set(common_places([t for t, _ in page], [t for t, _ in neighbour]))
-    if any(own for _, own in page):
-        kept = [t for t, own in page if own]  # shared or not; the rest is not the article
-    elif len(shared) >= COPY * max(len(page), len(neighbour or ())):
-        kept = [t for t, _ in page]
-    else:
-        kept = [t for i, (t, _) in enumerate(page) if i not in shared]
-    return "\n".join(kept)
-
-
-def _nearer(path: str, before: str | None, after: str | None) -> int:
-    """-1 or 1 for the neighbour with the longer common path prefix, the former at a tie; 0 if there is none."""
-
-    def common(other: str | None) -> int:
-        if other is None:
-            return -1
-        n = 0
-        for x, y in zip(path, other):
-            if x != y:
+def _texts(page: list[Line]) -> list[str]:
+    return [t for t, _ in page]
+
+
+def _is_copy(page: list[str], other: list[str], shared: set[int], third: list[list[str]]) -> bool:
+    if page == other:
+        return True
+    if len(shared) < COPY * max(len(page), len(other)):
+        return False
+    ayes = noes = 0
+    for t in third:
+        if t in (page, other):
+            continue
+        has = set(t)
+        a, b = [x for x in page if x not in has], [x for x in other if x not in has]
+        if len(common_places(a, b)) >= COPY * max(len(a), len(b), 1):
+            ayes += 1
+        else:
+            noes += 1
+    return ayes >= noes
+
+
+def text_among(page: list[Line], around: list[list[Line]]) -> str:
+    """The page's text by the pages around it, the nearest first."""
+    own = _texts(page)
+    others = [x for x in map(_texts, around) if x]
+    agreed: list[set[int]] = []
+    for i, other in enumerate(others):
+        shared = set(common_places(own, other)) if not set(own).isdisjoint(other) else set()
+        if not _is_copy(own, other, shared, others[:i] + others[i + 1 :]):
+            agreed.append(shared)
+            if len(agreed) == FURTHER:
                 break
-            n += 1
-        return n
+    tagged = any(x for _, x in page)
+    if not agreed:
+        return "\n".join(t for t, x in page if x or not tagged)
+    template = set.intersection(*agreed) if len(agreed) >= AGREE else set()
+    return "\n".join(t for i, (t, x) in enumerate(page) if i not in (template if x else agreed[0]))
 
-    b, a = common(before), common(after)
-    return 0 if a == b == -1 else -1 if b >= a else 1
+
+def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
+    """The page's text by one neighbour."""
+    return text_among(page, [neighbour] if neighbour else [])
+
+
+def _common_prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -230,28 +261,50 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     schema = T.StructType([pages.schema[key], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
-
-        def emit(page: tuple, before: tuple | None, after: tuple | None) -> str:
-            _, _, host, path, lines = page
-            sides = [x if x is not None and x[2] == host else None for x in (before, after)]
-            side = _nearer(path, *[x[3] if x else None for x in sides])
-            return main_text(lines, sides[(side + 1) // 2][4] if side else None)
-
         out: list[tuple] = []
-        before = here = None
-        for k, u, h, host, path in rows():
-            after = (k, u, host, path, page_lines(h or ""))
-            if here is not None:
-                out.append((here[0], here[1], emit(here, before, after)))
+        waiting: deque[tuple] = deque()  # pages of a host whose following pages are still to come
+        places: dict[int, deque[int]] = {}  # by page hash, its places among those waiting
+        behind: dict[int, tuple] = {}  # by page hash, the last page before the first that waits; the nearest at the end
+        left = taken = 0  # place of the first that waits, and of the next to come
+
+        def emit() -> None:
+            nonlocal left
+            own, k, u, path, digest, lines = page = waiting.popleft()
+            places[digest].popleft()
+            if not places[digest]:
+                del places[digest]
+            left += 1
+            if own:
+                after = [waiting[p[0] - left] for d, p in sorted(places.items(), key=lambda x: x[1][0]) if d != digest][:AROUND]
+                before = [x for d, x in reversed(behind.items()) if d != digest][:AROUND]
+                ranked = [(-_common_prefix(path, x[3]), n, side, x[5]) for side, xs in enumerate((before, after)) for n, x in enumerate(xs)]
+                out.append((k, u, text_among(lines, [x[3] for x in sorted(ranked, key=lambda x: x[:3])])))
+            behind.pop(digest, None)
+            behind[digest] = page
+            if len(behind) > AROUND + 1:
+                del behind[next(iter(behind))]
+
+        group = None
+        for batch in batches:
+            for k, u, h, host, path, digest, block, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group != (block, host):
+                    while waiting:
+                        emit()
+                    behind.clear()
+                    group = (block, host)
+                known = places.get(digest)
+                lines = waiting[known[0] - left][5] if known else behind[digest][5] if digest in behind else page_lines(h or "")
+                waiting.append((own, k, u, path, digest, lines))
+                places.setdefault(digest, deque()).append(taken)
+                taken += 1
+                while len(places) > AROUND + 1:
+                    emit()
                 if len(out) >= 500:
                     yield batch_of(out)
-                    out = []
-            before, here = here, after
-        if here is not None:
-            out.append((here[0], here[1], emit(here, before, None)))
+                    out.clear()
+        while waiting:
+            emit()
+        if out:
             yield batch_of(out)
 
     key_type = {T.LongType: pa.int64(), T.IntegerType: pa.int32()}.get(type(schema[0].dataType), pa.string())
@@ -269,5 +322,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
         F.lower(F.coalesce(F.try_parse_url(F.col(f"`{url}`"), F.lit("HOST")), F.lit(""))).alias("_host"),
         F.coalesce(F.try_parse_url(F.col(f"`{url}`"), F.lit("PATH")), F.lit("")).alias("_path"),
     )
-    order = ["_host", "_path", "_key"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    placed = placed.withColumn("_hash", F.xxhash64("_html"))
+    order = ["_host", "_path", "_key", "_hash"]
+    dealt = placed.select("_key", "_url", "_html", "_host", "_path", "_hash", F.lit(0).alias("_block"), F.lit(True).alias("_own"))
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)

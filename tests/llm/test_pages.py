@@ -64,6 +64,16 @@ def test_template_lines_of_bare_pages_are_deleted(spark):
     assert pages.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_alignment_decides_for_pages_with_an_article(spark):
+    def page(i):
+        return f"<html><body><main><h2>Heading {i}</h2><article><p>Follow us</p><p>Text {i}</p><p>More {i}</p><p>Thanks for reading</p></article><p>After {i}</p><p>All rights</p></main></body></html>"
+
+    rows = [(i, f"https://h.org/a/{i}", page(i)) for i in range(6)] + [(9, "https://alone.org/", page(9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in pages.extract_main_text(df).collect()}
+    assert got == {i: f"Heading {i}\nText {i}\nMore {i}\nAfter {i}" for i in range(6)} | {9: "Follow us\nText 9\nMore 9\nThanks for reading"}
+
+
 def test_driver_pages_equal_their_articles(spark):
     src = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: (r.text, r.n_chars) for r in pages.extract_main_text(src).collect()}
