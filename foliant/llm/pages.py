@@ -13,8 +13,8 @@ Two pages are copies if their lines are equal. If they share ``COPY`` of their l
 large template: what a third page has is taken out of both, and the two are copies unless most third pages leave less than
 ``COPY`` in common. A page without an article that has only copies around it keeps all its lines.
 
-The order is a range partitioning by host, path, id and page; a page near the end of a task has the pages around it on one
-side only.
+Pages are dealt to tasks in blocks of their order. Blocks get the pages around their ends as well, found from the urls
+first, so the result does not depend on where blocks end.
 
 Defined results: a null html counts as empty and gives an empty text; a null or malformed URL counts as an empty host and
 path; repeated rows are each returned; an empty table gives no rows; other input columns are not carried.
@@ -28,14 +28,18 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.session import cut_lineage
+
 #: Share of a page's lines in common with its neighbour from which the two count as copies.
 COPY = 0.8
 #: Different pages looked at on each side; of those that are no copies, how many an article's lines are held against, at least and at most.
 AROUND, AGREE, FURTHER = 4, 2, 4
+#: Sampled pages per block end.
+SAMPLED = 20
 
 # Element names of the HTML standard by their role here, and words of class, id or role attributes.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -256,6 +260,49 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
+def _dealt(placed: DataFrame, order: list[str], blocks: int) -> DataFrame:
+    """Rows with their block (``_block``), and for each block the different pages around its ends (``_own`` is false)."""
+    spark = placed.sparkSession
+    keys = cut_lineage(placed.select(*order))
+    every = max(1, keys.count() // (SAMPLED * blocks))
+    sampled = keys.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).distinct().orderBy(*order).collect()
+    ends = [sampled[i * len(sampled) // blocks] for i in range(1, blocks)] if sampled else []
+    types = {f.name: f.dataType for f in keys.schema}
+    row = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order])
+    block = F.lit(0)
+    if ends:
+        block = F.size(F.filter(F.array(*map(row, ends)), lambda e: e <= F.struct(*order)))
+    placed = placed.withColumn("_block", block)
+    if not ends:
+        return placed.withColumn("_own", F.lit(True))
+    pages = keys.withColumn("_block", block).groupBy("_block", "_host", "_hash")
+    at = F.struct("_path", "_key")
+
+    def side(pick, direction) -> dict[int, list]:
+        best = pages.agg(pick(at).alias("_at")).select("_block", "_host", "_at._path", "_at._key", "_hash")
+        nth = F.row_number().over(Window.partitionBy("_block").orderBy(*[direction(c) for c in order]))
+        found: dict[int, list] = {}
+        for r in best.withColumn("_n", nth).where(F.col("_n") <= AROUND + 1).orderBy("_block", "_n").collect():
+            found.setdefault(r["_block"], []).append(tuple(r[c] for c in order))
+        return found
+
+    first, last = side(F.min, F.asc), side(F.max, F.desc)
+    extra = []
+    for b in range(blocks):
+        for found, beyond in ((first, range(b + 1, blocks)), (last, range(b - 1, -1, -1))):
+            seen: set = set()
+            for r in (r for k in beyond for r in found.get(k, ())):
+                if len(seen) > AROUND:
+                    break
+                seen.add((r[0], r[-1]))
+                extra.append((*r, b))
+    schema = T.StructType([*[T.StructField(f"{c}_", types[c]) for c in order], T.StructField("_for", T.IntegerType())])
+    wanted = F.broadcast(spark.createDataFrame(extra, schema))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in order]
+    around = placed.join(wanted, same).withColumn("_block", F.col("_for")).select(*placed.columns).dropDuplicates(["_block", *order])
+    return placed.withColumn("_own", F.lit(True)).unionByName(around.withColumn("_own", F.lit(False)))
+
+
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) for every page."""
     schema = T.StructType([pages.schema[key], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -324,5 +371,6 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     )
     placed = placed.withColumn("_hash", F.xxhash64("_html"))
     order = ["_host", "_path", "_key", "_hash"]
-    dealt = placed.select("_key", "_url", "_html", "_host", "_path", "_hash", F.lit(0).alias("_block"), F.lit(True).alias("_own"))
-    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    blocks = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = _dealt(placed, order, blocks).select("_key", "_url", "_html", "_host", "_path", "_hash", "_block", "_own")
+    return dealt.repartitionById(blocks, F.col("_block")).sortWithinPartitions("_block", *order).mapInArrow(run, schema)

@@ -74,6 +74,35 @@ def test_alignment_decides_for_pages_with_an_article(spark):
     assert got == {i: f"Heading {i}\nText {i}\nMore {i}\nAfter {i}" for i in range(6)} | {9: "Follow us\nText 9\nMore 9\nThanks for reading"}
 
 
+def _bare(*lines):
+    return "<html><body>" + "".join(f"<p>{x}</p>" for x in [*[f"Template {k}" for k in range(8)], *lines]) + "</body></html>"
+
+
+def test_short_pages_and_copies_lose_a_large_template(spark):
+    rows = [(i, f"https://short.org/a/{i}", _bare(f"one {i}", f"two {i}")) for i in range(5)]
+    rows += [(100 + i, f"https://copies.org/a/{i:02d}", _bare(*[f"copied {k}" for k in range(10)])) for i in range(20)]
+    rows += [(200 + i, f"https://copies.org/b/{i}", _bare(f"alpha {i}", f"beta {i}", f"gamma {i}")) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in pages.extract_main_text(df).collect()}
+    want = {i: f"one {i}\ntwo {i}" for i in range(5)} | {200 + i: f"alpha {i}\nbeta {i}\ngamma {i}" for i in range(3)}
+    assert got == want | {100 + i: "\n".join(f"copied {k}" for k in range(10)) for i in range(20)}
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    rows = [(i, f"https://h{i // 2}.org/{i}", _bare(f"one {i}", f"two {i}", *[f"x {i} {k}" for k in range(4)])) for i in range(40)]
+    rows += [(100 + i, f"https://k.org/{i // 9}/{i:02d}", _bare(*[f"copied {i // 9} {k}" for k in range(3)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 3, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append({r.page_id: r.text for r in pages.extract_main_text(df.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2] and len(results[0]) == 100
+    assert all("Template" not in t for t in results[0].values())
+
+
 def test_driver_pages_equal_their_articles(spark):
     src = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: (r.text, r.n_chars) for r in pages.extract_main_text(src).collect()}
