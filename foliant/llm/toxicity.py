@@ -1,6 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-``fit_toxicity`` learns from a bounded sample of labelled rows (``SAMPLE`` of each label, the only bound); L1 leaves
+``fit_toxicity`` learns from a bounded sample of labelled rows (``SAMPLE`` of each label, the only bound), each with its
+whole text; tasks count the rows of each feature, and the driver gets features of ``MIN_ROWS`` rows or more. L1 leaves
 few weights, which every task gets as one array of 2^BITS floats (4 MB, whatever the corpus). ``score_toxicity`` scores
 whole texts of any length.
 
@@ -23,14 +24,13 @@ from pyspark.sql import types as T
 from foliant.llm import ftrl
 from foliant.llm.features import WordHashes, word_gram_buckets
 from foliant.llm.sampling import bounded_sample
+from foliant.session import cut_lineage
 
 BITS = 20
 #: Labelled rows of each label to learn from.
 SAMPLE = 4_000
 #: A feature in fewer training rows than this gets no weight.
 MIN_ROWS = 3
-#: Different features kept of one training row; longer rows keep those of the smallest bucket hash.
-ROW_FEATURES = 20_000
 THRESHOLD = 0.3
 
 
@@ -53,19 +53,40 @@ def _row(text: str, cache: WordHashes) -> np.ndarray:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
-        rows = [_row(t or "", cache)[:ROW_FEATURES].astype(np.int32) for t in batch.column("text").to_pylist()]
+        rows = [_row(t or "", cache).astype(np.int32) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "features"]
         )
 
 
+def _rows_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        table += np.bincount(batch.column("features").flatten().to_numpy(zero_copy_only=False), minlength=1 << BITS)
+    buckets = np.flatnonzero(table)
+    for at in range(0, len(buckets), 1 << 18):
+        b = buckets[at : at + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(table[b])], ["bucket", "n"])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """``docs``: doc_id, text. ``labels``: doc_id, label (0 or 1; null rows are ignored). The caller leaves out held-out rows."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = bounded_sample(known, "label", sample)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
-    found = train.mapInArrow(_featurise, "doc_id long, label int, features array<int>").toArrow()
+    layout = "doc_id long, label int, features array<int>"
+    featured = cut_lineage(train.mapInArrow(_featurise, layout))
+    counted = featured.select("features").mapInArrow(_rows_with, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    frequent = np.zeros(1 << BITS, bool)
+    frequent[counted.where(F.col("n") >= MIN_ROWS).select("bucket").toArrow().column(0).to_numpy()] = True  # 2^BITS rows at most
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [own[frequent[own]] for own in (np.asarray(x, np.int32) for x in batch.column("features").to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], batch.schema.names)
+
+    found = featured.mapInArrow(keep, layout).toArrow()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = np.lexsort((found.column("doc_id").to_numpy(),))
     y = found.column("label").to_numpy()[order]
@@ -73,15 +94,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     if len(set(y.tolist())) < 2:
         prior = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior))))
-    feats = found.column("features").combine_chunks()
-    offs, flat = feats.offsets.to_numpy(), feats.values.to_numpy()
-    rows_with = np.bincount(flat, minlength=1 << BITS)
-    ones = np.ones(ROW_FEATURES)
-    rows = []
-    for i in order:
-        own = flat[offs[i] : offs[i + 1]]
-        own = own[rows_with[own] >= MIN_ROWS]
-        rows.append((own, ones[: len(own)]))
+    feats = [own for chunk in found.column("features").chunks for own in chunk.to_numpy(zero_copy_only=False)]
+    ones = np.ones(max(map(len, feats)))
+    rows = [(feats[i], ones[: len(feats[i])]) for i in order]
     w, b = ftrl.fit_binary(rows, y, 1 << BITS, alpha=1.0, l1=8.0, l2=0.1, epochs=6)
     # The sample is balanced by label; the bias moves to the shares among all labelled rows.
     b += float(np.log((counts[1] / np.sum(y == 1)) / (counts[0] / np.sum(y == 0))))

@@ -63,6 +63,18 @@ def test_toxicity_edges(spark):
         assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_toxicity_learns_from_the_whole_of_long_rows(spark):
+    cache = toxicity.WordHashes()
+    bucket = lambda w: int(toxicity.word_gram_buckets(w, toxicity.BITS, cache)[0])
+    word = max((f"bad{i}" for i in range(2000)), key=bucket)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 10**9, 6000)) + (f" {word}" if i % 2 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")))
+    assert all(len(np.unique(toxicity.word_gram_buckets(t, toxicity.BITS, cache))) > 20_000 for _, t in rows)
+    assert model.dense()[bucket(word)] > 0
+
+
 def test_ftrl_leaves_noise_without_weight():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)
