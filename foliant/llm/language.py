@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-``fit_language`` learns by follow-the-regularised-leader with an elastic net from a bounded sample (``SAMPLE`` rows of
-each language, the only bound), then calibrates a temperature on a part of the sample that the fit did not see.
+``fit_language`` counts document frequencies over all training rows, per task first. It learns by
+follow-the-regularised-leader with an elastic net from a bounded sample (``SAMPLE`` rows of each language, the only bound), then calibrates a temperature on a part of the sample that the fit did not see.
 ``predict_language`` reads whole texts of any length. The model has a fixed size, 2^BITS buckets times the languages.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; repeated rows are predicted one by one;
@@ -74,6 +74,18 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of texts by bucket; the last place has the number of texts."""
+    table = np.zeros((1 << BITS) + 1, np.int64)
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            if t is not None and has_letter(t):
+                table[_counts(t)[0]] += 1
+                table[-1] += 1
+    buckets = np.flatnonzero(table)
+    yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(table[buckets])], ["bucket", "n"])
+
+
 def fit_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """``docs``: doc_id, text, lang; rows without an id or language teach nothing. The caller leaves out held-out rows."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
@@ -90,10 +102,10 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     languages = tuple(sorted({langs[k] for k in used}))
     if not languages:
         return LanguageModel((), np.zeros(1 << BITS), np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
-    rows_with = np.zeros(1 << BITS)
-    for k in used:
-        rows_with[pairs[k][0]] += 1
-    idf = np.log((1 + len(used)) / (1 + rows_with)) + 1.0
+    summed = known.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows_with = np.zeros((1 << BITS) + 1)
+    rows_with[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
+    idf = np.log((1 + rows_with[-1]) / (1 + rows_with[:-1])) + 1.0
     rows = [_tfidf(*pairs[k], idf) for k in used]
     y = np.array([languages.index(langs[k]) for k in used])
     aside = np.arange(len(rows)) % ASIDE == 0 if len(rows) >= 10 * ASIDE else np.zeros(len(rows), bool)

@@ -33,6 +33,14 @@ def test_language_accuracy_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_document_frequencies_cover_all_training_rows(spark):
+    rows = [(i, f"the cat {i}", "en") for i in range(90)] + [(i, f"und ruft {i}", "de") for i in range(90, 100)] + [(100, "12", "en"), (101, "other", None)]
+    model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=10)
+    both, en = (set(language._counts(t)[0].tolist()) for t in ("und ruft", "the cat"))
+    assert en - both and all(math.isclose(model.idf[k], math.log(101 / 91) + 1) for k in en - both)
+    assert all(math.isclose(model.idf[k], math.log(101 / 11) + 1) for k in both - en)
+
+
 def test_language_edges(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog sat here", "en"), ("der Hund und die Katze sind da", "de")] * 30)]
     rows += [(900, None, "en"), (901, "", None), (902, "12 !?", "en"), (903, "x" * 2_000_000, None), (None, "und die", None)]
