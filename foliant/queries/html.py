@@ -214,3 +214,17 @@ QUERIES |= {
     ),
     "converted_pages": (converted_pages, None),
 }
+
+
+# The two queries above that leave out what SQL's regular expressions can't count, over everything.
+
+
+def html_tag_histogram_whole(spark, sf):
+    return H.tag_histogram(_nodes(spark, sf))
+
+
+def inspection_counts_whole(spark, sf):
+    return I.findings(_sources(spark, sf)).groupBy(F.col("source_id").alias("page_id"), "capability", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES |= {"html_tag_histogram_whole": (html_tag_histogram_whole, None), "inspection_counts_whole": (inspection_counts_whole, None)}
