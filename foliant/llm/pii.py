@@ -2,7 +2,8 @@
 
 One Aho-Corasick pass over a whole text finds anchors: at-signs, plus signs, digits, scheme separators and identifier
 cues. Deterministic local parsers expand an anchor to a span and validate it. Each parser keeps the place up to which
-its kind is settled, so spans of a kind never overlap and a digit run is parsed once.
+its kind is settled, accepted or not, so spans of a kind never overlap and a run of characters is read once, however many
+anchors lie in it: time grows with the text's length.
 
 Kinds, in order: email, ip, card (Luhn), phone (the base kinds), then what the cues add: ``account`` (an IBAN with its
 check digits, or a number of 6 to 34 characters after a cue such as "account no"), ``secret`` (a key of 16 or more
@@ -42,6 +43,7 @@ _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ASSIGN = re.compile(r"""["']?[ ]?[:=][ ]?["']?""")
 _KEY = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
 _URI_END = re.compile(r"[^\s\"'<>`{}|\\^]+")
+_AUTHORITY_END = re.compile("[/?#]")
 
 #: Cues of an account number, of a secret, and schemes that name a person without "//".
 ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport", "konto", "cuenta", "compte")
@@ -89,6 +91,9 @@ def find_spans(text: str) -> list[Span]:
     found: list[Span] = []
     done = dict.fromkeys(KINDS, 0)
     cards = digits = 0  # where the digit parsers go on
+    keyless = 0  # up to here a run of key characters goes on that has no digit
+    uri_end = uri_stop = 0  # the end of the last run of URI characters, with and without closing punctuation
+    next_at = -1  # the next at-sign of a text, once looked for
     for at, (what, length) in _anchors().iter(text):
         if what == "digit":
             if at >= cards and at >= done["card"]:
@@ -130,9 +135,13 @@ def find_spans(text: str) -> list[Span]:
                         done["account"] = m.end()
                         break
             elif what == "secret":
-                if (m := _ASSIGN.match(text, end)) and (k := _KEY.match(text, m.end())) and k.start() >= done["secret"] and any(c in "0123456789" for c in k[0]):
-                    found.append(("secret", k.start(), k.end()))
-                    done["secret"] = k.end()
+                begin = m.end() if (m := _ASSIGN.match(text, end)) else 0
+                if begin >= max(keyless, done["secret"], 1) and (k := _KEY.match(text, begin)):
+                    if any(c in "0123456789" for c in k[0]):
+                        found.append(("secret", begin, k.end()))
+                        done["secret"] = k.end()
+                    else:
+                        keyless = k.end()
             else:
                 if what == "uri":
                     start = at - 2
@@ -140,11 +149,26 @@ def find_spans(text: str) -> list[Span]:
                         start -= 1
                 elif start and text[start - 1].isalnum():
                     continue
-                if m := _URI_END.match(text, end):
-                    stop = end + len(m[0].rstrip(".,;:!?)]"))
-                    authority = re.split("[/?#]", text[end:stop], maxsplit=1)[0]
-                    person = "@" in authority.strip("@") if what == "uri" else stop > end and ("@" in text[end:stop] or text[end] in "+0123456789")
-                    if person and start < end - 3 * (what == "uri") and start >= done["address"]:
+                if start < done["address"]:
+                    continue
+                if end >= uri_end:
+                    m = _URI_END.match(text, end)
+                    uri_end = m.end() if m else end
+                    uri_stop = uri_end
+                    while uri_stop > end and text[uri_stop - 1] in ".,;:!?)]":
+                        uri_stop -= 1
+                stop = max(uri_stop, end)
+                if stop > end:
+                    if next_at < end:
+                        next_at = at_sign if (at_sign := text.find("@", end)) >= 0 else len(text)
+                    if what == "uri":
+                        person = False
+                        if next_at < stop and start < end - 3:
+                            cut = m.start() if (m := _AUTHORITY_END.search(text, end, stop)) else stop
+                            person = next_at < cut and "@" in text[end:cut].strip("@")
+                    else:
+                        person = next_at < stop or text[end] in "+0123456789"
+                    if person:
                         found.append(("address", start, stop))
                         done["address"] = stop
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))

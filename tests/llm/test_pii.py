@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -77,3 +78,16 @@ def test_documents_equal_brute_force(spark):
     got = {r.doc_id: r.base_sha256 for r in pii.personal_data(docs).collect()}
     want = {r.doc_id: hashlib.sha256(pii.joined(brute(r.text)).encode()).hexdigest() for r in docs.collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("unit", ["token=", "a://", "mailto:", "x@y://", "1 ", "+1 ", "1."])
+def test_hostile_texts_take_linear_time(unit):
+    text = unit * (10_000_000 // len(unit))
+    began = time.perf_counter()
+    pii.find_spans(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_runs_without_a_key_do_not_hide_later_keys():
+    text = "token=" * 50 + " token=abcdefghijklmnop1234 a://b://u@host.org/x"
+    assert [s[0] for s in pii.find_spans(text) if s[0] in ("secret", "address")] == ["secret", "address"]
