@@ -25,7 +25,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -55,7 +55,9 @@ _CHROME = frozenset(
     "nav navbar navigation newsletter notice notices notification overlay pagination popup promo promotion recommended related respond share sharing "
     "sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary search".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.DOTALL)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+_SHORT_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]{0,40}+)(?=[\s/>])(?:[^>"']{1,500}+|"[^"]{0,500}+"|'[^']{0,500}+'){0,16}+>""")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -82,6 +84,58 @@ def _is_chrome(attributes: str) -> bool:
     return False
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, int]]:
+    """Start, end, slash, name and attributes' start of each tag; comments and declarations have no name.
+
+    ``send`` goes on from a place. A tag whose quotes never close ends at the next ``>``, and so do those after it, which
+    keeps the whole scan linear; where no ``>`` follows, the rest is text.
+    """
+    at, quotes = 0, True
+    while (start := html.find("<", at)) >= 0:
+        if quotes and (m := _SHORT_TAG.match(html, start)):
+            at = m.end()
+            went = yield start, at, m[1], m[2].lower(), m.end(2)
+            if went is not None:
+                at = went
+                yield start, at, "", "", at
+            continue
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(html)
+            yield start, at, "", "", at
+            continue
+        m = _NAME.match(html, start + 1)
+        if not m and html[start + 1 : start + 2] not in ("!", "?", "/"):
+            at = start + 1
+            continue
+        after = end = m.end() if m else start + 2
+        while m and quotes:
+            q = _QUOTE_OR_END.search(html, end)
+            if q and q[0] == ">":
+                end = q.start()
+                break
+            close = html.find(q[0], q.end()) if q else -1
+            if close < 0:
+                quotes = False
+            end = close + 1
+        else:
+            end = html.find(">", after)
+            if end < 0:
+                return
+        at = end + 1
+        went = yield (start, at, m[1], m[2].lower(), after) if m else (start, at, "", "", after)
+        if went is not None:
+            at = went
+            yield start, at, "", "", at
+
+
+def _raw_end(html: str, name: str, at: int) -> int:
+    """Where the raw text of an element ends, with its end tag; the end of the page where it has none."""
+    m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(html, at)
+    end = html.find(">", m.end()) if m else -1
+    return end + 1 if end >= 0 else len(html)
+
+
 def page_lines(html: str) -> list[Line]:
     """The lines of a page outside its chrome, in page order."""
     lines: list[list] = []  # text, in article, in main
@@ -96,20 +150,18 @@ def page_lines(html: str) -> list[Line]:
             if text:
                 lines.append([text, article > 0, main > 0])
 
-    at, end = 0, len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
+    at = 0
+    tags = _tags(html)
+    for start, end, slash, name, after in tags:
         if not skip:
-            buffer.append(html[at : m.start() if m else end])
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+            buffer.append(html[at:start])
+        at = end
+        if not name:
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        closing = bool(slash)
         if name in _RAW and not closing:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-            at = close.end() if close else end
+            at = _raw_end(html, name, at)
+            tags.send(at)
             continue
         if skip:
             if skip in _SELF_CLOSING and (closing or name in _BLOCK) and name != "br":
@@ -121,7 +173,7 @@ def page_lines(html: str) -> list[Line]:
                 if not depth:
                     skip = ""
                 continue
-            elif name in ("article", "main") and not closing and skip != "head" and not _is_chrome(m[3]):
+            elif name in ("article", "main") and not closing and skip != "head" and not _is_chrome(html[after : end - 1]):
                 skip = ""  # an element left open ends where the text begins
             elif name == "body" or closing and name == "html":
                 skip = ""
@@ -130,8 +182,8 @@ def page_lines(html: str) -> list[Line]:
         if name in _BLOCK:
             flush()
         if not closing and name not in _VOID:
-            if name in _DROP or (name == "header" and not article) or (name not in ("html", "body") and _is_chrome(m[3])):
-                if not (name == "svg" and m[3].endswith("/")):
+            if name in _DROP or (name == "header" and not article) or (name not in ("html", "body") and _is_chrome(html[after : end - 1])):
+                if not (name == "svg" and html[end - 2] == "/"):
                     flush()
                     skip, depth = name, 1
                 continue
@@ -139,20 +191,39 @@ def page_lines(html: str) -> list[Line]:
             article = max(0, article + (-1 if closing else 1))
         elif name == "main":
             main = max(0, main + (-1 if closing else 1))
+    if not skip:
+        buffer.append(html[at:])
     flush()
     own = 1 if any(x[1] for x in lines) else 2
     return [(x[0], x[own]) for x in lines]
 
 
-def _bit_rows(a: list, b: list, last: bool = False) -> list[int]:
-    """For each prefix of ``b`` (or the last only), the bit vector whose zeros mark where the common length with prefixes of ``a`` grows."""
+def _masks(a: list, often: int = 64) -> Callable[[object], int]:
+    """For a value, the bits of its places in ``a``; masks of rare values of a long list are made when asked for, since one for each takes n² bits."""
     places: dict = {}
     for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
+        places.setdefault(x, []).append(i)
+    size = len(a) // 8 + 1
+
+    def mask(found: list[int]) -> int:
+        if len(found) == 1:
+            return 1 << found[0]
+        bits = bytearray(size)
+        for i in found:
+            bits[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little")
+
+    held = {x: mask(found) for x, found in places.items() if len(a) <= 2048 or len(found) >= often}
+    return lambda x: m if (m := held.get(x)) is not None else mask(places[x]) if x in places else 0
+
+
+def _bit_rows(a: list, b: list, last: bool = False) -> list[int]:
+    """For each prefix of ``b`` (or the last only), the bit vector whose zeros mark where the common length with prefixes of ``a`` grows."""
+    mask = _masks(a)
     full = (1 << len(a)) - 1
     v, rows = full, []
     for y in b:
-        u = v & places.get(y, 0)
+        u = v & mask(y)
         v = ((v + u) | (v - u)) & full
         if not last:
             rows.append(v)
@@ -179,6 +250,9 @@ def common_places(a: list, b: list, most: int = 50_000_000) -> list[int]:
         ha, hb = ha - 1, hb - 1
         tail.append(ha)
     x, y = a[lo:ha], b[lo:hb]
+    both = set(x).intersection(y)
+    kept = [k for k, line in enumerate(x) if line in both]
+    x, y = [x[k] for k in kept], [line for line in y if line in both]
     if x and y:
         if len(x) * len(y) <= most or len(y) < 2:
             rows, i, j, mid = _bit_rows(x, y), len(x) - 1, len(y) - 1, []
@@ -192,13 +266,13 @@ def common_places(a: list, b: list, most: int = 50_000_000) -> list[int]:
                     break
                 else:
                     i -= 1
-            out += [lo + k for k in reversed(mid)]
+            out += [lo + kept[k] for k in reversed(mid)]
         else:
             half = len(y) // 2
             left, right = _last_row(x, y[:half]), _last_row(x[::-1], y[half:][::-1])
             cut = max(range(len(x) + 1), key=lambda k: left[k] + right[len(x) - k])
-            out += [lo + k for k in common_places(x[:cut], y[:half], most)]
-            out += [lo + cut + k for k in common_places(x[cut:], y[half:], most)]
+            out += [lo + kept[k] for k in common_places(x[:cut], y[:half], most)]
+            out += [lo + kept[cut + k] for k in common_places(x[cut:], y[half:], most)]
     return out + tail[::-1]
 
 
@@ -333,14 +407,15 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
 
         group = None
         for batch in batches:
-            for k, u, h, host, path, digest, block, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            small = [c.to_pylist() for i, c in enumerate(batch.columns) if i != 2]
+            for place, (k, u, host, path, digest, block, own) in enumerate(zip(*small, strict=True)):
                 if group != (block, host):
                     while waiting:
                         emit()
                     behind.clear()
                     group = (block, host)
                 known = places.get(digest)
-                lines = waiting[known[0] - left][5] if known else behind[digest][5] if digest in behind else page_lines(h or "")
+                lines = waiting[known[0] - left][5] if known else behind[digest][5] if digest in behind else page_lines(batch.column(2)[place].as_py() or "")
                 waiting.append((own, k, u, path, digest, lines))
                 places.setdefault(digest, deque()).append(taken)
                 taken += 1

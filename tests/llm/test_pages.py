@@ -1,7 +1,11 @@
 import random
 import re
+import time
 from html import unescape
 
+import pytest
+from pyspark.sql import functions as F
+
 from foliant.llm import pages
 
 
@@ -111,3 +115,45 @@ def test_driver_pages_equal_their_articles(spark):
         parts = (re.sub(r"\s+", " ", unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"</?(?:p|h1|br)>", inner))
         want = "\n".join(x for x in parts if x)
         assert got[r.page_id] == (want, len(want))
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a '>", "<!", "<p>line</p>", "</script ", "<script>", "<!-- ", "<a x='1' y=\"2\" ", "<div class=x>"])
+def test_hostile_pages_take_linear_time(unit):
+    began = time.perf_counter()
+    pages.page_lines(unit * (10_000_000 // len(unit)))
+    assert time.perf_counter() - began < 20
+
+
+def test_tags_with_open_quotes_end_at_the_next_bracket():
+    assert pages.page_lines("<p class='x>one</p><p>two \"<b>three</b>") == [("one", False), ('two "three', False)]
+    assert pages.page_lines('<p title="a>b">one</p>') == [("one", False)]
+    assert pages.page_lines("<p>one</p><a href=x") == [("one", False), ("<a href=x", False)]
+
+
+def test_alignment_of_very_long_pages():
+    lines = [f"line {i}" for i in range(60_000)]
+    other = random.Random(1).sample(lines, len(lines))
+    assert len(pages.common_places(lines, lines[1000:] + lines[:1000])) == 59_000
+    got = pages.common_places(lines, other)
+    assert got == sorted(got) and is_subsequence([lines[i] for i in got], other) and len(got) > 400
+
+
+def test_ties_of_path_and_repeated_rows_do_not_depend_on_partitions(spark):
+    rows = [(i % 7, "https://t.org/same", _bare(f"one {i % 7}", f"two {i % 7}")) for i in range(21)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 7, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted((r.page_id, r.text) for r in pages.extract_main_text(df.repartition(5)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2] == sorted((i % 7, f"one {i % 7}\ntwo {i % 7}") for i in range(21))
+
+
+def test_article_renamed_on_the_driver_tables(spark):
+    src = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = src.withColumn("html", F.regexp_replace("html", "<(/?)(article|main)>", "<$1div>"))
+    want = {r.page_id: r.text for r in pages.extract_main_text(src).collect()}
+    got = {r.page_id: r.text for r in pages.extract_main_text(plain).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
