@@ -19,6 +19,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,8 +34,6 @@ LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
 BLOCK_TOKENS = 4_000_000
 END_ID = 2
-#: Texts that are encoded together have about so many characters.
-GROUP_CHARS = 1 << 20
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
 
 
@@ -44,14 +43,38 @@ _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _LATIN = re.compile("[\t-\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
 
 
+# Bytes of Latin-1 that _LATIN has.
+_LATIN_BYTES = bytes(c for c in range(256) if _LATIN.fullmatch(chr(c)))
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _LATIN_BYTES)
+    except UnicodeEncodeError:
+        return _LATIN.fullmatch(text) is not None
+
+
+# A mark that ends a word; parted from it, the word is found again wherever it stands.
+_MARK = re.compile(r"([.,;:!?])(?<=[^\W_].)(?=\s)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """A byte's letter in a byte-level vocabulary: itself where it prints, else the next code point from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in prints)}
+
+
 class WordTokens(dict):
-    """Words to their ids as bytes of unsigned 16 or 32 bits, in two generations, so that its memory stays bounded.
+    """What stands between spaces to its ids as bytes of unsigned 16 or 32 bits, in two generations, so that its memory stays bounded.
 
-    A text of Latin characters is parted into words here, with the tokenizer's rule, and a word's ids are looked up; new
-    words are encoded many at a time and parted at the tokens that end a word. Any other text goes to the tokenizer whole.
+    A text of Latin characters is parted at spaces here and each part's ids are looked up. A part that is new is parted
+    into words with the tokenizer's rule, and the tokenizer's model has each word's ids. Any other text goes to the
+    tokenizer whole.
     """
 
     MOST = 400_000
+    #: Longer parts that are no words seldom come again and are not kept.
+    SHORT = 12
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
@@ -60,73 +83,59 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.parted = words_are_known(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, k in self.tokenizer.get_vocab().items():
-            self.ends[k] = token.endswith("</w>")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         self.older: dict[str, bytes] = {}
-
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not at hand, which are then kept."""
-        known = {w: ids for w in missing if (ids := self.older.get(w)) is not None} if self.older else {}
-        words, others = [], []
-        for w in missing:
-            if w not in known:
-                (words if w.isalpha() else others).append(w)
-        encode = self.tokenizer.encode_batch_fast
-        for at in range(0, len(words), 128):
-            group = words[at : at + 128]
-            ids = np.array(encode([" ".join(group)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
-            if len(cuts) != len(group):
-                others += group
-                continue
-            raw = ids.tobytes()
-            known.update(zip(group, [raw[a:z] for a, z in zip([0, *cuts], cuts)]))
-        for w, e in zip(others, encode(others, add_special_tokens=False) if others else (), strict=True):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
-        if len(self) + len(known) > self.MOST:
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            words = [part] if part.isalpha() else _WORD.findall(part)
+            if len(words) > 1:
+                ids = b"".join([self[w] for w in words])
+                if len(part) > self.SHORT:
+                    return ids
+            elif words:
+                spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                ids = array(self.code, [t.id for t in self.model(spelled)]).tobytes()
+            else:
+                return b""
+        if len(self) >= self.MOST:
             self.older = dict(self)
             self.clear()
-        self.update(known)
-        return known
+        self[part] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of several texts; the words that are not at hand are learned at once."""
-        split: list[list[str] | None] = [_WORD.findall(t.lower()) if self.parted and "<|" not in t and _LATIN.fullmatch(t) else None for t in texts]
-        get = self.get
-        missing: set[str] = set()
-        for words in split:
-            if words:
-                missing.update([w for w in words if w not in self])
-        new: dict[str, bytes] = {}
-        if missing:
-            held = self.copy() if len(self) + len(missing) > self.MOST else self
-            new = self.learn(missing)
-            get = held.get
-        out = []
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype))
-                continue
-            found = list(map(get, words))
-            if None in found:
-                found = [ids if ids is not None else new[w] for w, ids in zip(words, found, strict=True)]
-            out.append(np.frombuffer(b"".join(found), self.dtype))
-        return out
+        low = text.lower()
+        if self.parted and "<|" not in text and _is_latin(text):
+            return np.frombuffer(b"".join(map(self.__getitem__, _MARK.sub(r" \1", low).split())), self.dtype)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+
+_tokens: dict[str, WordTokens] = {}
+
+
+def _word_tokens(path: str) -> WordTokens:
+    """The words known to this worker, kept from task to task."""
+    if path not in _tokens:
+        _tokens.clear()
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]
 
 
 def words_are_known(tokenizer_json: str) -> bool:
-    """Whether a tokenizer makes letters small and parts words as ``_WORD`` does, each with its own ids."""
+    """Whether a tokenizer makes letters small and parts words as ``_WORD`` does, each with its own ids by bytes."""
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = json.load(f)
     steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    first, *more = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
     rule = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    return steps == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": rule} and bool(first.get("invert")) and not spec.get("post_processor")
+    by_rule = first.get("pattern") == {"Regex": rule} and bool(first.get("invert"))
+    by_bytes = [(m.get("type"), m.get("add_prefix_space"), m.get("use_regex")) for m in more] == [("ByteLevel", False, False)]
+    return steps == ["NFC", "Replace", "Lowercase"] and by_rule and by_bytes and not spec.get("post_processor")
 
 
 def _parts(tokens: int) -> Iterator[int]:
@@ -199,27 +208,16 @@ def pack_documents(
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_json)
+        tokens = _word_tokens(tokenizer_json)
         task, used = TaskContext.get().partitionId(), 0
         keys: list = []
         ids: list[np.ndarray] = []
         held = 0
 
-        def encoded(texts: list[str]) -> Iterator[np.ndarray]:
-            group: list[str] = []
-            size = 0
-            for t in texts:
-                group.append(t)
-                size += len(t)
-                if size >= GROUP_CHARS:
-                    yield from tokens.encode_all(group)
-                    group, size = [], 0
-            yield from tokens.encode_all(group)
-
         def block() -> pa.RecordBatch:
             nonlocal used
             pieces = pack([len(i) for i in ids], length)
-            crc = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
+            crc = [zlib.crc32(ids[d][s : s + n]) for d, s, n, _, _ in pieces]
             cols = list(zip(*pieces, strict=True))
             arrays = [
                 pa.array([keys[d] for d in cols[0]], arrow_key),
@@ -238,9 +236,12 @@ def pack_documents(
         arrow_key = pa.int64()
         for batch in batches:
             arrow_key = batch.schema.field(0).type
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for k, own in zip(batch.column(0).to_pylist(), encoded(texts), strict=True):
-                own = np.append(np.asarray(own, tokens.dtype), tokens.dtype(end_id))
+            for place, k in enumerate(batch.column(0).to_pylist()):
+                own = tokens.encode(batch.column(1)[place].as_py() or "")
+                ended = np.empty(len(own) + 1, "<u4")
+                ended[:-1] = own
+                ended[-1] = end_id
+                own = ended
                 if ids and held + len(own) > BLOCK_TOKENS:
                     yield block()
                     keys, ids, held = [], [], 0

@@ -63,7 +63,7 @@ def test_chunked_ids_equal_the_tokenizers(spark):
         assert t.encode(x).tolist() == plain.encode(x, add_special_tokens=False).ids
     t.clear()
     t.MOST = 50  # a full generation at every step
-    got = [i.tolist() for at in range(0, len(texts), 7) for i in t.encode_all(texts[at : at + 7])]
+    got = [t.encode(x).tolist() for x in texts]
     assert got == [plain.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -78,3 +78,23 @@ def test_query_rows(spark):
     assert [i for r in whole for i in r.ids] == plain.encode("word " * 9000, add_special_tokens=False).ids + [2]
     assert sum(r.length for r in got if r.doc_id == 1) == 1 and sum(r.length for r in got if r.doc_id == 3) == 8
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_random_latin_texts_equal_the_tokenizers():
+    rng = np.random.default_rng(2)
+    letters = "abcXYZéßÄ'’ .,-_0129\n\t\xa0½²µĀŁſ<|>&$ts\x85\x1cİ中"
+    t, plain = packing.WordTokens(PATH), Tokenizer.from_file(PATH)
+    t.MOST = 2000
+    for n in rng.integers(0, 40, 5000):
+        x = "".join(letters[i] for i in rng.integers(0, len(letters), n))
+        assert t.encode(x).tolist() == plain.encode(x, add_special_tokens=False).ids
+
+
+def test_a_document_longer_than_a_block(spark):
+    long = "some words of a text. " * 900_000
+    df = spark.createDataFrame([(1, "short"), (2, long), (3, "short")], "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(df, PATH).collect()
+    one = len(Tokenizer.from_file(PATH).encode("some words of a text.", add_special_tokens=False).ids)
+    own = sorted((r.start, r.length) for r in got if r.doc_id == 2)
+    assert 900_000 * one + 1 > packing.BLOCK_TOKENS
+    assert sum(n for _, n in own) == 900_000 * one + 1 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:]))
