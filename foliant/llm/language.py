@@ -6,7 +6,8 @@ follow-the-regularised-leader with an elastic net from a bounded sample (``SAMPL
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; repeated rows are predicted one by one;
 an empty table gives no rows; with no usable training row every text is ``und``. Ties go to the first language by
-name. Input columns other than the text are carried through; clashes with ``lang_pred`` or ``score`` raise ``ValueError``.
+name. Input columns other than the text are carried through; one named ``lang_pred`` or ``score`` becomes ``lang_pred_input``
+or ``score_input``. Of repeated rows of an id and language, the least text teaches.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import ftrl
+from foliant.llm.columns import set_aside
 from foliant.llm.features import char_gram_counts, has_letter
 from foliant.llm.sampling import bounded_sample
 
@@ -90,14 +92,13 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """``docs``: doc_id, text, lang; rows without an id or language teach nothing. The caller leaves out held-out rows."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     chosen = bounded_sample(known.select("doc_id", "lang"), "lang", sample).distinct()
-    train = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most sample rows a language
+    train = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # at most sample ids a language
+    train = train.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     found = train.mapInArrow(_featurise, "doc_id long, lang string, idx array<int>, counts array<int>").toArrow()
     langs = np.array(found.column("lang").to_pylist(), object)
     ids = found.column("doc_id").to_numpy()
-    pairs = [
-        (np.array(i, np.int64), np.array(c, np.float64))
-        for i, c in zip(found.column("idx").to_pylist(), found.column("counts").to_pylist(), strict=True)
-    ]
+    parts = {c: [x for chunk in found.column(c).chunks for x in chunk.to_numpy(zero_copy_only=False)] for c in ("idx", "counts")}
+    pairs = [(i, c.astype(np.float64)) for i, c in zip(parts["idx"], parts["counts"], strict=True)]
     used = [k for k in np.lexsort((langs.astype(str), ids)) if len(pairs[k][0])]
     languages = tuple(sorted({langs[k] for k in used}))
     if not languages:
@@ -120,19 +121,19 @@ def predict_language(df: DataFrame, model: LanguageModel, text: str = "text") ->
     return with_language(df, model, text, keep_text=False)
 
 
-def with_language(df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """As ``predict_language``, and the text column stays unless ``keep_text`` is false."""
-    if clash := [c for c in df.columns if c.lower() in ("lang_pred", "score")]:
-        raise ValueError(f"input columns clash with the predictions: {clash}")
-    names = [c for c in df.columns if keep_text or c != text]
-    schema = T.StructType([*[df.schema[c] for c in names], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def with_language(df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """As ``predict_language``, under other names if given, and the text column stays unless ``keep_text`` is false."""
+    df = set_aside(df, names, keep=(text,))
+    carried = [c for c in df.columns if keep_text or c != text]
+    schema = T.StructType([*[df.schema[c] for c in carried], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = df.columns.index(text)
     stay = [i for i, c in enumerate(df.columns) if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for t in batch.column(at).to_pylist():
+            for place in range(batch.num_rows):
+                t = batch.column(at)[place].as_py()
                 if t is None or not model.languages or not has_letter(t):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -141,6 +142,6 @@ def with_language(df: DataFrame, model: LanguageModel, text: str = "text", keep_
                 k = int(p.argmax())
                 langs.append(model.languages[k])
                 scores.append(float(p[k]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carried, *names])
 
     return df.mapInArrow(run, schema)

@@ -5,8 +5,8 @@ into verdicts for a versioned policy (a set of rules), and ``ablation`` computes
 bitwise aggregation of the stored masks, without reading a text again.
 
 Defined results: a null text counts as empty (no words, no lines); an empty table gives an empty ledger; repeated
-rows are judged one by one; columns of the input other than the text are carried through under their own names, and
-an input column that clashes with a ledger column raises ``ValueError``.
+rows are judged one by one; columns of the input other than the text are carried through under their own names, but one
+with the name of a ledger or verdict column, as ``n_words``, becomes ``n_words_input``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.columns import set_aside
+
 #: Bit of each rule in ``failed_bits``.
 RULES: Mapping[str, int] = {
     "too_few_words": 0,
@@ -118,8 +120,7 @@ def policy_mask(rules: Sequence[str]) -> int:
 
 def evaluate_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """The ledger: the input's other columns, the measurements and ``failed_bits``; one pass, no shuffle."""
-    if clash := [c for c in df.columns if c != text and c.lower() in (*MEASURES, "_m")]:
-        raise ValueError(f"input columns clash with the ledger: {clash}")
+    df = set_aside(df, (*MEASURES, "_m", "base_failed", "kept"), keep=(text,))
     others = [F.col(f"`{c}`") for c in df.columns if c != text]
     measured = df.select(*others, _measures(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_m"))
     names = [c for c in df.columns if c != text]

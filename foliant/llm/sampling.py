@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,11 +12,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_sample(keys: DataFrame, group: str, most: int, groups: int = 256) -> DataFrame:
-    """At most ``most`` rows of each value of ``group``, the first by a hash of ``doc_id``, for ``groups`` values at most.
+    """Rows of the first ``most`` ids of each value of ``group`` by a hash of ``doc_id``, for ``groups`` values at most.
 
-    The values are counted first, and of each only the rows below a hash that some ``3 * most`` of them are expected to
-    lie below go on; so what is ranked is bounded, however frequent a value is. ``groups`` bounds what the driver may
-    receive; more values than that is an error, not a silent cut. The group column holds no nulls.
+    The values are counted first; of each, the hashes below a place that some ``3 * most`` of them are expected to lie
+    below go to the driver, which finds the last place that is drawn. So no task ranks a value's rows, however frequent it
+    is, and the driver gets some ``3 * most`` numbers of a value. ``groups`` bounds what else the driver may receive; more
+    values than that is an error, not a silent cut. The group column holds no nulls. Repeated rows of an id are all drawn.
     """
     sizes = {r[0]: r[1] for r in keys.groupBy(group).count().limit(groups + 1).collect()}
     if len(sizes) > groups:
@@ -24,7 +25,15 @@ def bounded_sample(keys: DataFrame, group: str, most: int, groups: int = 256) ->
     if not sizes:
         return keys.limit(0)
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    below = F.create_map(*[F.lit(x) for value, n in sorted(sizes.items()) for x in (value, (2**63 - 1) * min(n, 3 * most) // n)])
-    likely = keys.withColumn("_place", place).where(F.col("_place") <= F.element_at(below, F.col(group)))
-    order = Window.partitionBy(group).orderBy("_place", "doc_id")
-    return likely.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank", "_place")
+
+    def below(places: dict) -> Column:
+        table = F.create_map(*[F.lit(x) for value, cut in sorted(places.items()) for x in (value, cut)])
+        return place <= F.try_element_at(table, F.col(group))
+
+    likely = keys.where(below({value: (2**63 - 1) * min(n, 3 * most) // n for value, n in sizes.items()}))
+    found: dict = {}
+    for value, at in likely.select(group, place.alias("at")).distinct().collect():
+        found.setdefault(value, []).append(at)
+    if not found:
+        return keys.limit(0)
+    return keys.where(below({value: sorted(at)[:most][-1] for value, at in found.items()}))

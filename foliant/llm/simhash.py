@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.columns import free_name
 from foliant.llm.components import components
 from foliant.llm.golay import fuzzy_keys
 from foliant.session import cut_lineage
@@ -36,6 +37,8 @@ SHINGLE = 3
 DISTANCE = 2
 #: Classes of one key that are still joined in pairs.
 HOT = 48
+#: Ids up to this number are sent to every task (some 100 MB); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _ASCII_UPPER = re.compile(r"[A-Z]")
@@ -137,14 +140,23 @@ def fingerprint_text(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The same columns with one row of each component: that of the least key (of repeated keys, the least text).
 
-    Rows with a null key can't be told from each other and stay.
+    Rows with a null key can't be told from each other and stay. Only ids are shuffled where those to leave out are few
+    enough to be sent to every task; otherwise rows are joined with them by shuffle.
     """
-    found = near_duplicates(df, key, text)
-    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    held = df.join(first, F.col(f"`{key}`") == F.col("_first")).drop("_first")
-    order = Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{text}`"))
-    one = held.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
-    return one.unionByName(df.where(F.col(f"`{key}`").isNull()))
+    found = near_duplicates(df, key, text).select(F.col(f"`{key}`").alias("_id"), "component_id").where("_id is not null")
+    by_id = found.groupBy("_id").agg(F.max(F.col("_id") == F.col("component_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    out = cut_lineage(by_id.where("not _first or _n > 1").select("_id", "_first"))
+    counts = out.agg(F.count(F.lit(1)).alias("n"), F.count_if("_first").alias("repeated")).first()
+    own, other = F.col(f"`{key}`"), free_name(df, "_id")
+    out = out.withColumnRenamed("_id", other)
+    small = (lambda x: F.broadcast(x)) if counts["n"] <= broadcast_ids else (lambda x: x)
+    kept = df.join(small(out.select(other)), own == F.col(other), "left_anti")
+    if not counts["repeated"]:
+        return kept
+    again = df.join(small(out.where("_first").select(other)), own == F.col(other), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    one = again.groupBy(own.alias("_id")).agg(F.min_by(whole, F.struct(F.col(f"`{text}`"), F.to_json(whole))).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))

@@ -1,13 +1,14 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 ``fit_toxicity`` learns from a bounded sample of labelled rows (``SAMPLE`` of each label, the only bound), each with its
-whole text; tasks count the rows of each feature, and the driver gets features of ``MIN_ROWS`` rows or more. L1 leaves
+whole text; tasks count the rows of each feature by label, and the driver gets features of ``MIN_ROWS`` rows or more
+whose shares of the two labels' rows differ by ``LEAST_Z`` standard errors (others have gradients too small for L1). L1 leaves
 few weights, which every task gets as one array of 2^BITS floats (4 MB, whatever the corpus). ``score_toxicity`` scores
 whole texts of any length.
 
 Defined results: a null or empty text scores by the bias alone; repeated rows are scored one by one; an empty table
 gives no rows; with no labelled rows or one label only, the model is the constant prior (0 with no rows). Input columns other
-than the text are carried through; clashes with ``score`` or ``predicted`` raise ``ValueError``.
+than the text are carried through; one named ``score`` or ``predicted`` becomes ``score_input`` or ``predicted_input``.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import ftrl
+from foliant.llm.columns import set_aside
 from foliant.llm.features import WordHashes, word_gram_buckets
 from foliant.llm.sampling import bounded_sample
 from foliant.session import cut_lineage
@@ -31,6 +34,8 @@ BITS = 20
 SAMPLE = 4_000
 #: A feature in fewer training rows than this gets no weight.
 MIN_ROWS = 3
+#: Standard errors by which a feature's shares of the two labels' rows differ, at least.
+LEAST_Z = 1.5
 THRESHOLD = 0.3
 
 
@@ -60,26 +65,38 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(1 << BITS, np.int64)
+    """Number of rows by bucket, of label 0 and of label 1."""
+    table = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        table += np.bincount(batch.column("features").flatten().to_numpy(zero_copy_only=False), minlength=1 << BITS)
-    buckets = np.flatnonzero(table)
+        label = batch.column("label").to_numpy(zero_copy_only=False)
+        of_row = np.repeat(label, pc.list_value_length(batch.column("features")).to_numpy(zero_copy_only=False))
+        buckets = batch.column("features").flatten().to_numpy(zero_copy_only=False)
+        for k in (0, 1):
+            table[k] += np.bincount(buckets[of_row == k], minlength=1 << BITS)
+    buckets = np.flatnonzero(table.sum(axis=0))
     for at in range(0, len(buckets), 1 << 18):
         b = buckets[at : at + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(table[b])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(table[0, b]), pa.array(table[1, b])], ["bucket", "n0", "n1"])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """``docs``: doc_id, text. ``labels``: doc_id, label (0 or 1; null rows are ignored). The caller leaves out held-out rows."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = cut_lineage(known.groupBy("doc_id").agg(F.max("label").alias("label")))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = bounded_sample(known, "label", sample)
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
+    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
     layout = "doc_id long, label int, features array<int>"
     featured = cut_lineage(train.mapInArrow(_featurise, layout))
-    counted = featured.select("features").mapInArrow(_rows_with, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    drawn = {r["label"]: r["count"] for r in featured.groupBy("label").count().collect()}
     frequent = np.zeros(1 << BITS, bool)
-    frequent[counted.where(F.col("n") >= MIN_ROWS).select("bucket").toArrow().column(0).to_numpy()] = True  # 2^BITS rows at most
+    if len(drawn) == 2:
+        counted = featured.select("label", "features").mapInArrow(_rows_with, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        both, rows_in_all = F.col("n0") + F.col("n1"), drawn[0] + drawn[1]
+        spread = F.sqrt(both / rows_in_all * (1 - both / rows_in_all) * (1 / drawn[0] + 1 / drawn[1]))
+        apart = F.abs(F.col("n1") / drawn[1] - F.col("n0") / drawn[0])
+        telling = counted.where((both >= MIN_ROWS) & (apart >= LEAST_Z * spread)).select("bucket")  # 2^BITS rows at most
+        frequent[telling.toArrow().column(0).to_numpy()] = True
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +104,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], batch.schema.names)
 
     found = featured.mapInArrow(keep, layout).toArrow()
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     order = np.lexsort((found.column("doc_id").to_numpy(),))
     y = found.column("label").to_numpy()[order]
-    total = sum(counts.values())
     if len(set(y.tolist())) < 2:
         prior = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior))))
@@ -106,8 +121,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The other columns with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on)."""
-    if clash := [c for c in df.columns if c != text and c.lower() in ("score", "predicted", "_text")]:
-        raise ValueError(f"input columns clash with the scores: {clash}")
+    df = set_aside(df, ("score", "predicted", "_text"), keep=(text,))
     names = [c for c in df.columns if c != text]
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("score", T.DoubleType())])
 
@@ -115,12 +129,12 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, threshold: float = THRES
         dense, cache = model.dense(), WordHashes()
         for batch in batches:
             scores = []
-            for t in batch.column("_text").to_pylist():
-                hit = word_gram_buckets(t or "", BITS, cache)
+            for place in range(batch.num_rows):
+                hit = word_gram_buckets(batch.column(-1)[place].as_py() or "", BITS, cache)
                 hit = np.unique(hit[dense[hit] != 0])
                 scores.append(float(dense[hit].sum(dtype=np.float64)) + model.bias)
             p = 1.0 / (1.0 + np.exp(-np.clip(np.array(scores, np.float64), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(p)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*names, "score"])
 
     picked = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text"))
     return picked.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -1,5 +1,6 @@
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,8 +52,9 @@ def test_language_edges(spark):
     assert all((out[i].lang_pred, out[i].score) == ("und", 0.0) for i in (900, 901, 902)) and out[903].lang_pred in ("en", "de")
     empty = language.fit_language(df.limit(0))
     assert {r.lang_pred for r in language.predict_language(df, empty).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        language.predict_language(df.withColumn("score", F.lit(1)), model)
+    clash = language.predict_language(df.withColumn("Score", F.lit(7)).withColumn("score_input", F.lit(8)), model)
+    assert clash.columns == ["doc_id", "lang", "Score_input_input", "score_input", "lang_pred", "score"]
+    assert {(r.Score_input_input, r.score_input) for r in clash.collect()} == {(7, 8)}
 
 
 def test_toxicity_on_held_out(spark):
@@ -69,6 +71,65 @@ def test_toxicity_edges(spark):
     for use in (labels, labels.limit(0)):
         out = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, use)).collect()
         assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
+    clash = toxicity.score_toxicity(docs.withColumn("score", F.lit("x")).withColumn("predicted", F.lit(3)), toxicity.fit_toxicity(docs, labels))
+    assert clash.columns == ["doc_id", "score_input", "predicted_input", "score", "predicted"] and clash.count() == 5
+
+
+def brute_char_counts(text):
+    """Counts by bucket of the 1-, 2- and 3-grams, hashed with whole numbers of Python."""
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    found = Counter()
+    for n in language.ORDERS:
+        for i in range(len(low) - n + 1):
+            h = 0
+            for k, c in enumerate(low[i : i + n]):
+                h = (h * 0xC2B2AE3D27D4EB4F * (k > 0) + ord(c) + 1) % 2**64
+            h = (h * 0xC2B2AE3D27D4EB4F + n) % 2**64
+            found[(h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - language.BITS)] += 1
+    return found
+
+
+def test_language_predictions_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit_language(docs)
+    got = {r.doc_id: r for r in language.predict_language(docs, model).collect()}
+    rows = docs.collect()
+    letters = [r.text for r in rows if any(c.isalpha() for c in r.text or "")]
+    counts = {r.doc_id: brute_char_counts(r.text) for r in rows}
+    df = Counter(b for r in rows if any(c.isalpha() for c in r.text) for b in counts[r.doc_id])
+    for r in rows[:60]:
+        if not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        value = {b: (1 + math.log(c)) * (math.log((1 + len(letters)) / (1 + df[b])) + 1) for b, c in counts[r.doc_id].items()}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        s = [(sum(v / norm * float(model.weight[b, k]) for b, v in value.items()) + float(model.bias[k])) / model.temperature for k in range(len(model.languages))]
+        p = [math.exp(x - max(s)) for x in s]
+        best = max(range(len(p)), key=p.__getitem__)
+        assert got[r.doc_id].lang_pred == model.languages[best] and math.isclose(got[r.doc_id].score, p[best] / sum(p), rel_tol=1e-4)
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    import re
+
+    import xxhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit_toxicity(docs, labels)
+    weight = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    assert weight
+    rows = docs.limit(150).collect()
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    mix = lambda h: (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS)
+    for r in rows:
+        h = [xxhash.xxh64_intdigest(w) for w in re.findall(r"[^\W_]+", r.text.lower())]
+        hit = {mix(x) for x in h}
+        for gap in (1, 2, 3):
+            salt = gap * 0x632BE59BD9B4E019 % 2**64
+            hit |= {mix((a * 0xC2B2AE3D27D4EB4F % 2**64) ^ ((b + salt) % 2**64)) for a, b in zip(h, h[gap:])}
+        score = 1 / (1 + math.exp(-max(-35, min(35, sum(weight.get(b, 0.0) for b in hit) + model.bias))))
+        assert math.isclose(got[r.doc_id].score, score, rel_tol=1e-4) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
 
 
 def test_toxicity_learns_from_the_whole_of_long_rows(spark):

@@ -36,13 +36,13 @@ def test_stages_equal_brute_force(spark):
 
 
 def test_stages_on_edges(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _id int, _first int, predicted int, failed_bits int"
     long = "This is a rather long text about nothing much. " * 3000
     rows = [
         (1, None, "en", "a", None, 1.0), (2, "", None, None, 0, None), (3, "12 34", "en", "a", 5, 1.0), (4, long, "en", "a", 1, 1.0),
         (5, long, "en", "a", 1, 1.0), (5, long, "en", "a", 1, 1.0), (None, "Some other words of a text here", None, "a", 1, 1.0),
     ]
-    docs = spark.createDataFrame(rows, schema).withColumnRenamed("score", "quality")
+    docs = spark.createDataFrame([(*r, "x", 1, 2, 3, 4) for r in rows], schema)
     for docs_in in (docs, docs.limit(0)):
         at = docs_in
         for name, stage in cp.STAGES:

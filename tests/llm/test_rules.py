@@ -1,6 +1,5 @@
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import rules
@@ -33,8 +32,9 @@ def test_measures_equal_brute_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(TEXTS[r.doc_id]), r
         assert not (r.base_failed and r.kept)
     assert rules.evaluate_rules(df.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="n_words"):
-        rules.evaluate_rules(df.withColumn("n_words", F.lit(1)))
+    clash = rules.apply_policy(rules.evaluate_rules(df.withColumn("n_words", F.lit(-1)).withColumn("kept", F.lit("k")).withColumn("failed_bits", F.lit(-2))))
+    assert {(r.n_words_input, r.kept_input, r.failed_bits_input) for r in clash.collect()} == {(-1, "k", -2)}
+    assert sorted((r.doc_id, r.n_words, r.kept) for r in clash.collect()) == sorted((r.doc_id, r.n_words, r.kept) for r in ledger.collect())
 
 
 def test_clean_documents_are_kept_and_plan_is_native(spark):

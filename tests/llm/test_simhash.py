@@ -102,3 +102,13 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (3, 3), (None, 9), (9, 9)], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_first_with_repeated_ids_and_by_shuffle(spark):
+    other = "quite another text with words of its own that nobody has copied"
+    rows = [(1, "one text that is long enough", 5), (1, "one text that is long enough", 4), (2, "one text that is long enough", 3), (3, other, 2), (3, "a third", 1), (None, other, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int")
+    want = [(1, "one text that is long enough", 4), (3, "a third", 1), (None, other, 9)]
+    for most in (0, 10):
+        got = [tuple(r) for r in simhash.keep_first(df, broadcast_ids=most).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
