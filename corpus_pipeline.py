@@ -7,7 +7,8 @@ personal_data: spans of personal data are masked, and ``n_chars`` follows.
 packing: the rest is tokenised and packed; one row per piece.
 
 Defined results: null and empty texts are rejected by the first stage, since no language can be read from them; an empty
-table gives an empty result in every stage; repeated rows are near copies of each other.
+table gives an empty result in every stage; repeated rows are near copies of each other; further columns, whatever their
+names, are carried through all stages but the last.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate, language, packing, pii, simhash
+from foliant.llm.columns import free_name
 from foliant.llm.sampling import held_out
 from foliant.session import cut_lineage
 
@@ -25,8 +27,9 @@ LEAST_LANGUAGE = 0.35
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit_language(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
-    found = language.with_language(docs, model)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    predicted, score = free_name(docs, "_predicted"), free_name(docs, "_score")
+    found = language.with_language(docs, model, names=(predicted, score))
+    return found.where((F.col(predicted) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE)).drop(predicted, score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
