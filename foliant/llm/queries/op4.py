@@ -1,20 +1,25 @@
-"""op4_preference_format: conversations 2k (chosen) and 2k + 1 (rejected) as prompt and masked completions."""
+"""op4_preference_format: conversations paired by their first turns as prompt and masked completions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm.chat import adjacent_pairs, format_preferences
+from foliant.llm.chat import format_conversations
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(adjacent_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 SQL = r"""
-WITH c AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, role, text,
+WITH t AS (SELECT conv_id, conv_id - (conv_id % 1024 + 1024) % 1024 AS b, role, text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
            FROM conversations WHERE conv_id IS NOT NULL),
+f AS (SELECT conv_id, b, role, text, row_number() OVER (PARTITION BY b, role, text ORDER BY conv_id) <=
+             count(*) OVER (PARTITION BY b, role, text) // 2 * 2 AS alike FROM t WHERE k = 1),
+g AS (SELECT conv_id, row_number() OVER w AS r, lag(conv_id) OVER w AS before FROM f
+      WINDOW w AS (PARTITION BY b, alike, CASE WHEN alike THEN role END, CASE WHEN alike THEN text END ORDER BY conv_id)),
+c AS (SELECT CASE WHEN r % 2 = 1 THEN conv_id ELSE before END AS pair_id, (r - 1) % 2 AS side, role, text, k FROM t JOIN g USING (conv_id)),
 h AS (SELECT *, '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '< |im_') || chr(10) AS head,
              replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' AS body FROM c),
 s AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM c GROUP BY pair_id),
