@@ -156,56 +156,109 @@ def test_ftrl_leaves_noise_without_weight():
     assert 0.9 < ftrl.temperature(np.array([[2.0, 0.0]] * 88 + [[0.0, 2.0]] * 12), np.zeros(100, int), 0.0) < 1.1
 
 
-def brute_kneser_ney(texts):
-    """Interpolated modified Kneser-Ney of order 3 over symbols, by dictionaries."""
-    from collections import Counter, defaultdict
-
-    c3 = Counter()
+def brute_kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney over characters by dictionaries: the probability of an n-gram's last symbol."""
+    counts = {order: Counter()}
     for t in texts:
-        s = [0, 0, *perplexity.symbols(t).tolist(), 3]
-        c3.update(zip(s, s[1:], s[2:]))
-    c2 = Counter(g[1:] for g in c3)
-    c1 = Counter(g[1:] for g in c2)
-    total = sum(c1.values())
-    p1 = {w: 0.9 * c1[(w,)] / total + 0.1 / 256 for w in range(256)}
-
-    def order(counts, lower):
-        n = Counter(c for c in counts.values() if c <= 4)
+        s = chr(2) * (order - 1) + t + chr(3)
+        counts[order].update(s[i : i + order] for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def prepared(c):
+        n = Counter(x for x in c.values() if x <= 4)
+        d = [0.5, 0.75, 0.9]
         if n[1] and n[2]:
             y = n[1] / (n[1] + 2 * n[2])
             r = lambda a, b: b / a if a else 0.0
             raw = (1 - 2 * y * r(n[1], n[2]), 2 - 3 * y * r(n[2], n[3]), 3 - 4 * y * r(n[3], n[4]))
             d = [min(max(x, 0.05), top) for x, top in zip(raw, (0.95, 1.9, 2.9))]
+        total, held = Counter(), Counter()
+        for g, x in c.items():
+            total[g[:-1]] += x
+            held[g[:-1]] += d[min(x, 3) - 1]
+        return d, total, held
+
+    ready = {k: prepared(c) for k, c in counts.items()}
+
+    def p(g):
+        if not g:
+            return 1 / 0x110000
+        d, total, held = ready[len(g)]
+        h, x = g[:-1], counts[len(g)].get(g, 0)
+        if not total[h]:
+            return p(g[1:])
+        return (x - d[min(x, 3) - 1] if x else 0.0) / total[h] + held[h] / total[h] * p(g[1:])
+
+    return p
+
+
+def brute_nll(p, text, order):
+    s = chr(2) * (order - 1) + text + chr(3)
+    return -sum(math.log(p(s[i : i + order])) for i in range(len(s) - order + 1))
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_perplexity_equals_brute_force_on_whole_texts(spark, order, monkeypatch):
+    """Several chunks, several shards, texts longer than a chunk, characters of all kinds."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    texts += ["zzz Quite new ### é", "𝒳𝒴 漢字 ß", "a", " ", "\n" * 50, "the cat sat " * 500]
+    rows = [(i, t, i % 3 == 0, "x") for i, t in enumerate(texts)] + [(98, None, True, "x"), (99, "", False, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, trusted boolean, lang string").repartition(3)
+    monkeypatch.setattr(perplexity, "CHUNK_CHARS", 3000)
+    table = perplexity.log_probabilities(df, order=order)
+    p = brute_kneser_ney([t for i, t in enumerate(texts) if i % 3 == 0], order)
+    known = {r.g: r.logp for r in table.collect()}
+    assert all(math.isclose(known[g], math.log(p(g)), rel_tol=1e-9) for g in known)
+    assert set(known) == {s[i : i + order] for t in texts for s in [chr(2) * (order - 1) + t + chr(3)] for i in range(len(s) - order + 1)}
+    got = perplexity.score_texts(df.select("doc_id", "text", "lang"), table, shards=5, order=order).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id >= 98:
+            assert (r._nll, r._symbols) == (0.0, 0)
+        else:
+            assert r._symbols == len(texts[r.doc_id]) + 1 and math.isclose(r._nll, brute_nll(p, texts[r.doc_id], order), rel_tol=1e-5)
+
+
+def test_marks_inside_a_text_and_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "a" + chr(2) + "b" + chr(3), True), (2, "ab " * 4_000_000, True)], "doc_id long, text string, trusted boolean").repartition(2)
+    table = perplexity.log_probabilities(df)
+    assert not [r.g for r in table.collect() if chr(3) in r.g[:-1]]
+    got = {r.doc_id: r for r in perplexity.score_texts(df.select("doc_id", "text"), table).collect()}
+    assert got[2]._symbols == 12_000_001 and 0 <= got[2]._nll / got[2]._symbols < 0.01
+
+
+def test_quality_equals_brute_force(spark):
+    """Perplexity, threshold and verdict of every document, with two languages of enough documents and one too rare."""
+    rng = np.random.default_rng(5)
+    words = {"en": ["the", "cat", "sat", "on", "mat", "and", "dog"], "de": ["und", "der", "Hund", "Katze", "saß", "auf"], "fr": ["le", "chat"]}
+    rows = [(i, " ".join(rng.choice(words[x], int(rng.integers(3, 60)))), x) for i, x in enumerate(["en"] * 220 + ["de"] * 180 + ["fr"] * 10)]
+    rows += [(500, "qqq zzz xxx " * 20, "en"), (501, "cat the on sat " * 9, None), (502, "", "en"), (503, None, "de"), (504, "und der " * 9, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = df.where("doc_id < 410").select("doc_id")
+    aside = {r.doc_id for r in trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(perplexity.CALIBRATION)) == 0).collect()}
+    p = brute_kneser_ney([t for i, t, _ in rows if i < 410 and i not in aside], perplexity.ORDER)
+    nll = {i: brute_nll(p, t, perplexity.ORDER) for i, t, _ in rows if t}
+    size = {i: len(t) + 1 for i, t, _ in rows if t}
+    lang = {i: x for i, _, x in rows}
+    mean = lambda ids: sum(nll[i] for i in ids) / sum(size[i] for i in ids)
+    of = {x: [i for i in aside if lang[i] == x] for x in words}
+    assert min(len(of["en"]), len(of["de"])) >= perplexity.LEAST > len(of["fr"])
+    level = {x: mean(of[x]) for x in ("en", "de")}
+    drawn = lambda i: (nll[i] + perplexity.PRIOR * level.get(lang[i], mean(aside))) / (size[i] + perplexity.PRIOR)
+    quantile = lambda ids: sorted(map(drawn, ids))[math.ceil(perplexity.QUANTILE * len(ids)) - 1]
+    bound = {x: quantile(of[x]) for x in level}
+    got = {r.doc_id: r for r in perplexity.judge_quality(df, trusted).collect()}
+    assert len(got) == len(rows)
+    for i, t, x in rows:
+        r, limit = got[i], bound.get(x, quantile(aside))
+        assert math.isclose(r.threshold, math.exp(limit), rel_tol=1e-4)
+        if t:
+            assert math.isclose(r.perplexity, math.exp(nll[i] / size[i]), rel_tol=1e-4)
+            assert abs(drawn(i) - limit) < 1e-4 or r.kept == (drawn(i) <= limit)
         else:
-            d = [0.5, 0.75, 0.9]
-        of = lambda c: d[min(c, 3) - 1]
-        tot, held = defaultdict(int), defaultdict(float)
-        for g, c in counts.items():
-            tot[g[:-1]] += c
-            held[g[:-1]] += of(c)
-
-        def p(g):
-            h = g[:-1]
-            if h not in tot:
-                return lower(g[1:])
-            c = counts.get(g, 0)
-            return (c - of(c) if c else 0.0) / tot[h] + held[h] / tot[h] * lower(g[1:])
-
-        return p
-
-    return order(c3, order(c2, lambda g: p1[g[0]]))
-
-
-def test_perplexity_model_equals_brute_force(spark):
-    texts = [r.text[:300] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    table = perplexity.fit_model(df).log_table()
-    p = brute_kneser_ney(texts)
-    for t in [*texts[:10], "zzz Quite new ### é"]:
-        for k in perplexity.trigrams(t).tolist():
-            assert math.isclose(math.exp(table[k]), p((k >> 16, k >> 8 & 255, k & 255)), rel_tol=2e-3)
-    a = int(perplexity.trigrams("the")[2])
-    assert abs(np.exp(table[a & ~255 : (a & ~255) + 256]).sum() - 1) < 1e-3
+            assert r.perplexity is None and not r.kept
+    assert not got[500].kept
 
 
 def test_quality_keeps_good_and_handles_edges(spark):
