@@ -5,13 +5,15 @@ lies whole in one; longer items are indexed in parts of ``WINDOW`` words, which
 (``THRESHOLD`` of its score against itself), so every item is due at a score of 1. An item's words outside its essential
 ones are worth ``REST`` at most, so it can only be due where its essential words are worth what is then missing. That
 sum is taken over a document first, then over its passages, from the few essential words in them; where no item gets
-there, none is due. For the passages left, the block maxima of the words' posting lists bound the score of each block of items, blocks that can't
-reach 1 are never opened, and items of the others are scored. Every item that is due is then verified as a whole: its
+there, none is due. The passages left query the index by block-max WAND: the words' posting lists, each with the highest impact
+of the list and of each run of ``BLOCK`` postings, are read side by side; the pivot is the first item that the lists' maxima can
+bring to 1, it is scored where the maxima of its blocks can as well, and otherwise the lists skip past those blocks. Every item that is due is then verified as a whole: its
 question and its answer must each be found in the passage, in order, by ``OVERLAP`` of their words. For an item of several
 parts, the passage is widened by twice the words that the item has before and after the part that is due.
 
-The index is cut into blocks of ``BLOCK_ITEMS`` test items; what a task gets is one such index, whatever the size of the
-benchmark, and each further block is a further pass over the documents.
+The benchmark is cut into blocks of ``BLOCK_ITEMS`` test items or ``BLOCK_WORDS`` words, whichever ends first; a task and the driver
+hold the index of one block, whatever the size of the benchmark. Each further block is a further pass over the documents, whose
+rows are written to the shared checkpoint folder before the next block is read. An item longer than that is a block of its own.
 
 Defined results: null and empty texts hold nothing and items without words match nothing; an item with a null id is
 reported under it; repeated documents and items are each reported; empty tables give no rows.
@@ -21,25 +23,31 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from operator import itemgetter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.session import cut_lineage
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 WINDOW = 64
+_END = 1 << 62
+_at = itemgetter(0)
 #: What the words of an item outside its essential ones are worth at most, in units of its threshold.
 REST = 0.8
 #: Postings of a block-max block.
 BLOCK = 64
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _ANSWER = re.compile(r"\b(?:answer|antwort|réponse|respuesta)\s*:", re.IGNORECASE)
 
@@ -74,6 +82,21 @@ def common_in_order(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - v.bit_count()
 
 
+class Postings:
+    """A word's parts in order with their impacts, and the highest impact of the list and of each ``BLOCK`` of it."""
+
+    __slots__ = ("highest", "impacts", "maxima", "parts")
+
+    def __init__(self, posts: Sequence[tuple[int, float]]):
+        self.parts = array("q", [p for p, _ in posts])
+        self.impacts = array("d", [x for _, x in posts])
+        self.maxima = array("d", [max(self.impacts[i : i + BLOCK]) for i in range(0, len(posts), BLOCK)])
+        self.highest = max(self.maxima)
+
+    def __reduce__(self):
+        return Postings, (list(zip(self.parts, self.impacts)),)
+
+
 @dataclass
 class ItemIndex:
     """One block of items: postings in item order with block maxima, and the essential words of each item."""
@@ -83,8 +106,7 @@ class ItemIndex:
     parts: list[tuple[int, list[str], list[str]]] = field(default_factory=list)  # item, question and answer words in the part
     place: list[tuple[int, int]] = field(default_factory=list)  # words of the item before and after the part
     terms: dict[str, int] = field(default_factory=dict)
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    block_max: np.ndarray | None = None
+    postings: list[Postings] = field(default_factory=list)
     essential: dict[str, list[tuple[int, float]]] = field(default_factory=dict)
     needed: list[float] = field(default_factory=list)
 
@@ -118,30 +140,51 @@ class ItemIndex:
                     index.essential.setdefault(w, []).append((d, impact[w] / due))
                     rest -= impact[w] / due
             index.needed.append(1.0 - max(rest, 0.0) - 1e-9)
-        blocks = -(-n // BLOCK) if n else 0
-        index.block_max = np.zeros((len(lists), blocks))
         for t, (w, posts) in enumerate(lists.items()):
             index.terms[w] = t
-            d, s = np.array([p[0] for p in posts]), np.array([p[1] for p in posts])
-            index.postings.append((d, s))
-            np.maximum.at(index.block_max[t], d // BLOCK, s)
+            index.postings.append(Postings(posts))
         return index
 
     def due(self, words: set[str]) -> list[tuple[int, float]]:
-        """(part, score) of every part whose score reaches its threshold against these words."""
-        own = [self.terms[w] for w in words if w in self.terms]
-        open_blocks = np.flatnonzero(self.block_max[own].sum(axis=0) >= 1.0 - 1e-9)
-        found = []
-        for b in open_blocks.tolist():
-            lo, hi = b * BLOCK, (b + 1) * BLOCK
-            score = np.zeros(BLOCK)
-            for t in own:
-                if self.block_max[t, b]:
-                    d, s = self.postings[t]
-                    i, j = np.searchsorted(d, (lo, hi))
-                    score[d[i:j] - lo] += s[i:j]
-            found += [(lo + int(k), float(score[k])) for k in np.flatnonzero(score >= 1.0 - 1e-9)]
-        return found
+        """(part, score) of every part whose score reaches its threshold against these words, by block-max WAND."""
+        least, found = 1.0 - 1e-9, []
+        open_lists = [[p.parts[0], 0, p] for p in (self.postings[self.terms[w]] for w in words if w in self.terms)]  # part at hand, place, list
+
+        def move(cursor: list, part: int) -> None:
+            p = cursor[2]
+            cursor[1] = bisect_left(p.parts, part, cursor[1])
+            cursor[0] = p.parts[cursor[1]] if cursor[1] < len(p.parts) else _END
+
+        while True:
+            open_lists.sort(key=_at)
+            reach, last = 0.0, -1
+            for k, (part, _, p) in enumerate(open_lists):
+                if part == _END:
+                    break
+                reach += p.highest
+                if reach >= least:
+                    last = k
+                    break
+            if last < 0:
+                return found
+            pivot = open_lists[last][0]
+            while last + 1 < len(open_lists) and open_lists[last + 1][0] == pivot:
+                last += 1
+            ahead = open_lists[: last + 1]
+            places = [bisect_left(p.parts, pivot, place) for _, place, p in ahead]
+            inside = [(p, i) for (_, _, p), i in zip(ahead, places) if i < len(p.parts)]
+            if sum(p.maxima[i // BLOCK] for p, i in inside) >= least:
+                score = math.fsum(p.impacts[i] for p, i in inside if p.parts[i] == pivot)
+                if score >= least:
+                    found.append((pivot, score))
+                goal = pivot + 1
+            else:  # no part before the first of these blocks ends, or before the next list begins, can reach 1
+                goal = min(p.parts[min((i // BLOCK + 1) * BLOCK, len(p.parts)) - 1] + 1 for p, i in inside)
+                if last + 1 < len(open_lists):
+                    goal = min(goal, open_lists[last + 1][0])
+                goal = max(goal, pivot + 1)
+            for cursor in ahead:
+                move(cursor, goal)
 
     def retrieve(self, words: list[str]) -> Iterator[tuple[int, int, float]]:
         """(first word of the passage, part, score) of every part that is due in a passage."""
@@ -201,15 +244,32 @@ class ItemIndex:
 def _blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[ItemIndex]:
     """Indexes of bounded blocks of items, one at a time on the driver."""
     block: list[tuple[object, str | None]] = []
+    n = 0
     for r in benchmark.select(F.col(f"`{item}`"), F.col(f"`{text}`")).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == size:
+        own = len(words_of(r[1] or ""))
+        if block and (len(block) == size or n + own > BLOCK_WORDS):
             yield ItemIndex.build(block)
-            block = []
+            block, n = [], 0
+        block.append((r[0], r[1]))
+        n += own
     if block:
         yield ItemIndex.build(block)
 
 
+def _passes(blocks: Iterator[ItemIndex], scan: Callable[[ItemIndex], DataFrame]) -> Iterator[DataFrame]:
+    """``scan`` of each block; where there are several, each is done before the next index is built."""
+    first = next(blocks, None)
+    second = next(blocks, None)
+    if first is None or second is None:
+        yield scan(first if first is not None else ItemIndex.build([]))
+        return
+    yield cut_lineage(scan(first))
+    del first
+    while second is not None:
+        yield cut_lineage(scan(second))
+        second = next(blocks, None)
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS
 ) -> DataFrame:
@@ -231,8 +291,8 @@ def find_leaks(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, out = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    for k, (score, start, n) in sorted(index.leaks(t or "").items()):
+                for i in range(batch.num_rows):
+                    for k, (score, start, n) in sorted(index.leaks(batch.column(1)[i].as_py() or "").items()):
                         rows.append(i)
                         out.append((index.item_ids[k], score, start, n))
                 if rows:
@@ -251,23 +311,24 @@ def find_leaks(
         return source.mapInArrow(run, schema)
 
     found = None
-    for index in _blocks(benchmark, item, item_text, block_items):
-        part = scan(index)
+    for part in _passes(_blocks(benchmark, item, item_text, block_items), scan):
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else scan(ItemIndex.build([]))
+    return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The same columns without the documents that hold a test item; a pass per block of items, no shuffle."""
     at = docs.columns.index(text)
 
-    def without(df: DataFrame, index: ItemIndex) -> DataFrame:
+    kept = docs
+
+    def without(index: ItemIndex) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not index.leaks(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.leaks(batch.column(at)[i].as_py() or "") for i in range(batch.num_rows)], pa.bool_()))
 
-        return df.mapInArrow(run, df.schema)
+        return kept.mapInArrow(run, docs.schema)
 
-    for index in _blocks(benchmark, item, item_text, block_items):
-        docs = without(docs, index)
-    return docs
+    for kept in _passes(_blocks(benchmark, item, item_text, block_items), without):  # noqa: B007
+        pass
+    return kept

@@ -59,6 +59,37 @@ def test_search_equals_brute_force():
     assert some > 20
 
 
+def test_wand_finds_what_plain_sums_find(monkeypatch):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(3, 40)))) for i in range(1500)]
+    index = dc.ItemIndex.build(items)
+    assert max(len(p.parts) for p in index.postings) > 10 * dc.BLOCK
+    hits = 0
+    for n in range(60):
+        words = set(rng.choices(vocabulary, weights, k=rng.randint(0, 90))) | set(items[rng.randrange(1500)][1].split() if n % 2 else [])
+        plain = Counter()
+        for w in words & set(index.terms):
+            p = index.postings[index.terms[w]]
+            plain.update(dict(zip(p.parts, p.impacts)))
+        got = index.due(words)
+        want = sorted(part for part, x in plain.items() if x >= 1 - 1e-9)
+        assert [part for part, _ in got] == want and all(math.isclose(x, plain[part]) for part, x in got)
+        hits += len(got)
+    assert hits > 100
+
+
+def test_blocks_end_by_words_too(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 30)
+    items = [(i, f"what stands in line {i} of the book of tables? it is entry number {i} and nothing more") for i in range(7)] + [(7, "alone " + "long item " * 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [len(b.item_ids) for b in dc._blocks(bench, "item_id", "text", 100)] == [1] * 8
+    docs = spark.createDataFrame([(i, f"so {t} it goes") for i, t in items] + [(50, "clean")], "doc_id long, text string")
+    assert {r.doc_id for r in dc.drop_leaks(docs, bench).collect()} == {50}
+    assert {(i, i) for i in range(8)} <= {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()}
+
+
 def test_long_items_are_verified_as_a_whole(spark):
     rng = random.Random(8)
     vocabulary = [f"word{i}" for i in range(3000)]
