@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,12 +11,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+#: Estimated bytes of a core's share below which an input is dealt over all cores.
+SMALL = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores where a small input has fewer partitions; a large one is left where it is."""
+    """The same rows over all cores where the plan's estimated size is small; a large one is left where it is. Plans only, runs nothing."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = re.match(r"sizeInBytes=([0-9.]+) (B|KiB|MiB)\b", df._jdf.queryExecution().optimizedPlan().stats().simpleString())
+    small = size is not None and float(size[1]) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20}[size[2]] < cores * SMALL
+    return df.repartition(cores) if small else df
 
 
 def map_rows(df: DataFrame, schema: StructType, rows: Callable[..., Iterable[tuple]], most: int = 2048) -> DataFrame:

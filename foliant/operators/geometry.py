@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.session import cut_lineage
+from foliant.operators.components import components
 
 
 def overlap(a: str, b: str) -> Column:
@@ -80,15 +80,9 @@ def numeric_text(text: Column) -> Column:
     return F.trim(text).rlike(r"^[(+\-]?[$€£]?\s?\d[\d,. ]*\)?\s?%?$")
 
 
-def touching(edges: DataFrame, nodes: DataFrame, keys: list[str], most_rounds: int = 50) -> DataFrame:
-    """(keys, id, component): least id reachable over touching segments of a page, by spreading minima along edges."""
-    both = cut_lineage(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut_lineage(nodes.select(*keys, "id", F.col("id").alias("component")))
-    for _ in range(most_rounds):
-        near = both.join(label.withColumnRenamed("id", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("component").alias("_near"))
-        moved = label.join(near, [*keys, "id"], "left").select(*keys, "id", F.least("component", F.coalesce("_near", "component")).alias("component"), (F.coalesce("_near", "component") < F.col("component")).alias("_moved"))
-        moved = cut_lineage(moved)
-        label = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+def touching(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, component): least id reachable over touching segments of a page, however long a chain is."""
+    end = lambda c: F.struct(*keys, F.col(c).alias("id"))
+    roots = components(edges.select(end("a").alias("a"), end("b").alias("b")))
+    found = nodes.select(*keys, "id", end("id").alias("node")).join(roots, "node", "left")
+    return found.select(*keys, "id", F.coalesce("root.id", "id").alias("component"))

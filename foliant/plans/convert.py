@@ -167,13 +167,14 @@ def readable_part(markdown: F.Column) -> F.Column:
 
 
 def nested_documents(sources: DataFrame, most_depth: int = 16) -> DataFrame:
-    """Sources and the documents inside their packages and messages, level by level: (source_id, parent_sha256, name, depth, sha256, content).
+    """Sources and the documents inside their packages and messages, level by level: (source_id, parent_sha256, name, depth, sha256, content, reason).
 
-    A child whose digest is among its ancestors' is a cycle and ends there; the loop ends when a level finds nothing.
+    A child whose digest is among its ancestors' is a cycle and ends there; the loop ends when a level finds nothing. Documents
+    below ``most_depth`` are listed without content, and the reason names the limit.
     """
     level = sources.select("source_id", F.lit(None).cast("string").alias("parent_sha256"), "name", F.lit(0).alias("depth"), F.sha2("content", 256).alias("sha256"), "content", F.array(F.sha2("content", 256)).alias("_above"))
-    found = level
-    for depth in range(1, most_depth + 1):
+    found = level.withColumn("reason", F.lit(None).cast("string"))
+    for depth in range(1, most_depth + 2):
         keyed = level.withColumn("_key", F.xxhash64("source_id", "sha256", "name"))
         parents = keyed.select("_key", F.col("source_id").alias("_root"), F.col("sha256").alias("parent_sha256"), "_above")
         zipped = keyed.where(F.substring("content", 1, 4) == F.lit(b"PK\x03\x04")).select(F.col("_key").alias("source_id"), "content")
@@ -188,7 +189,9 @@ def nested_documents(sources: DataFrame, most_depth: int = 16) -> DataFrame:
         level = cut_lineage(level)
         if level.isEmpty():
             break
-        found = found.unionByName(level)
+        reason = F.lit(f"nested deeper than {most_depth} levels" if depth > most_depth else None).cast("string")
+        listed = level.withColumn("content", F.when(reason.isNull(), F.col("content"))).withColumn("reason", reason)
+        found = found.unionByName(listed)
     return found.drop("_above")
 
 

@@ -59,7 +59,7 @@ def html_link_counts(spark, sf):
 
 
 def html_tag_histogram(spark, sf):
-    return H.tag_histogram(_nodes(spark, sf)).where("tag in ('a', 'li', 'article', 'footer', 'nav', 'h1', 'div', 'br', 'script', 'style', 'title', 'meta', 'ul')")
+    return H.tag_histogram(_nodes(spark, sf))
 
 
 def html_comments(spark, sf):
@@ -144,11 +144,7 @@ QUERIES = {
     "html_meta_charset": (html_meta_charset, """SELECT page_id, lower(regexp_extract(html, '<meta charset="([^"]*)"', 1)) AS charset FROM pages"""),
     "html_links": (html_links, _LINKS),
     "html_link_counts": (html_link_counts, f"SELECT page_id, target_class, count(*) AS n FROM ({_LINKS}) GROUP BY ALL"),
-    "html_tag_histogram": (
-        html_tag_histogram,
-        r"""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>', 'g'), '<([a-z0-9]+)', 1)) AS tag FROM pages)
- WHERE tag IN ('a','li','article','footer','nav','h1','div','br','script','style','title','meta','ul') GROUP BY tag""",
-    ),
+    "html_tag_histogram": (html_tag_histogram, None),
     "html_comments": (html_comments, "SELECT page_id, trim(unnest(regexp_extract_all(html, '<!--(.*?)-->', 1))) AS comment FROM pages"),
     "html_scripts": (
         html_scripts,
@@ -183,7 +179,7 @@ def _sources(spark, sf):
 
 
 def inspection_counts(spark, sf):
-    found = I.findings(_sources(spark, sf)).where("kind in ('script', 'style-sheet', 'meta', 'comment', 'relative', 'external')")
+    found = I.findings(_sources(spark, sf))
     return found.groupBy(F.col("source_id").alias("page_id"), "capability").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,17 +210,3 @@ QUERIES |= {
     ),
     "converted_pages": (converted_pages, None),
 }
-
-
-# The two queries above that leave out what SQL's regular expressions can't count, over everything.
-
-
-def html_tag_histogram_whole(spark, sf):
-    return H.tag_histogram(_nodes(spark, sf))
-
-
-def inspection_counts_whole(spark, sf):
-    return I.findings(_sources(spark, sf)).groupBy(F.col("source_id").alias("page_id"), "capability", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES |= {"html_tag_histogram_whole": (html_tag_histogram_whole, None), "inspection_counts_whole": (inspection_counts_whole, None)}

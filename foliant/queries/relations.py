@@ -37,50 +37,11 @@ def occupied_range(spark, sf):
     return G.occupied_range(_cells(spark, sf), ["sheet"])
 
 
-def merge_range_join(spark, sf):
-    cells = _cells(spark, sf).select("sheet", "row", "col").distinct()
-    areas = _t(spark, sf, "orders").where("o_orderkey % 50 = 0").select(
-        (F.col("o_custkey") % 100 + 1).alias("sheet"), (F.col("o_orderkey") % 450 + 1).alias("top"), (F.col("o_orderkey") % 40 + 1).alias("left"), F.col("o_orderkey").alias("ord")
-    )
-    areas = areas.withColumns({"bottom": F.col("top") + F.col("ord") % 90, "right": F.col("left") + 9})
-    return G.merged_cells(cells, areas, ["sheet"])
-
-
-def readable_cells(spark, sf):
-    """Orders as native cells and customers' orders as shown values, met by position."""
-    o = _t(spark, sf, "orders")
-    state = F.when(F.col("o_orderkey") % 11 == 0, "error").when(F.col("o_orderkey") % 7 == 0, "missing").when(F.col("o_orderkey") % 5 == 0, "blank").otherwise("value")
-    native = o.where("o_orderkey % 3 <> 0").select((F.col("o_orderkey") % 10).alias("sheet"), F.col("o_orderkey").alias("row"), F.lit(1).alias("col"), F.col("o_orderstatus").alias("value"), state.alias("state"))
-    shown = o.where("o_orderkey % 4 <> 0").select((F.col("o_orderkey") % 10).alias("sheet"), F.col("o_orderkey").alias("row"), F.lit(1).alias("col"), F.col("o_orderpriority").alias("value"))
-    return G.readable_cells(native, shown, ["sheet"]).select("sheet", "row", "text")
-
-
-def addressed_grid(spark, sf):
-    cells = _cells(spark, sf).where("sheet <= 10").groupBy("sheet", "row", "col").agg(F.min("l_returnflag").alias("text"))
-    return G.addressed_rows(cells, ["sheet"])
-
-
-def repeat_expansion(spark, sf):
-    runs = _t(spark, sf, "orders").where("o_orderkey % 20 = 0").select(
-        "o_orderkey", F.lit(1).cast("long").alias("row"), F.lit(1).cast("long").alias("col"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("value"),
-        (F.col("o_orderkey") % 4 + 1).cast("int").alias("row_repeat"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("col_repeat"),
-    )
-    return G.expand_repeats(runs).select("o_orderkey", "row", "col", "value", "kind")
-
-
 def formula_counts(spark, sf):
     cells = _cells(spark, sf).withColumn("formula", F.when(F.col("l_returnflag") == "R", F.lit("A1+1")))
     return G.formula_counts(cells, ["sheet"])
 
 
-def shared_formulas(spark, sf):
-    cells = _t(spark, sf, "orders").where("o_orderkey between 1 and 2000").select(
-        F.lit(1).alias("sheet"), (F.col("o_orderkey") % 20).alias("shared"), F.col("o_orderkey").alias("row"), F.lit(3).cast("long").alias("col"),
-        F.when(F.col("o_orderkey") <= 20, F.concat(F.lit("SUM(A"), F.col("o_orderkey").cast("string"), F.lit(":$B$1)+C1"))).alias("formula"),
-    )
-    return G.shared_formulas(cells, ["sheet"]).select("row", "formula")
-
-
 def relationship_last_wins(spark, sf):
     rels = _t(spark, sf, "orders").select(F.col("o_custkey").alias("rid"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("target"))
     return R.last_wins(rels, ["rid"], "ord")
@@ -96,25 +57,7 @@ def reference_labels(spark, sf):
     return R.by_label(refs, defs, "label", "ord").select("c_custkey", "target")
 
 
-def inherited_attributes(spark, sf):
-    """A page tree over orders: node n hangs under n div 4; the nearest rotation on the path counts."""
-    ids = _t(spark, sf, "orders").where("o_orderkey between 1 and 4095").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderstatus")).alias("rotation"))
-    up = lambda n: F.floor(F.col("id") / 4**n)
-    path = F.filter(F.array(*[up(n) for n in range(6, -1, -1)]), lambda x: x > 0)
-    return R.inherited(ids.withColumn("path", path), "rotation").select("id", "rotation")
-
-
-def fallback_chain(spark, sf):
-    items = _t(spark, sf, "part").where("p_partkey <= 300").select(
-        F.col("p_partkey").alias("id"), (F.col("p_size") > 25).alias("usable"), F.when(F.col("p_partkey") % 9 != 0, (F.col("p_partkey") * 7) % 300 + 1).alias("fallback")
-    )
-    return R.fallback_chain(spark, items)
-
-
-# The queries above that read a part of their tables, as their SQL does, over all of them. Brute force takes the place of SQL.
-
-
-def merge_range_join_whole(spark, sf):
+def merge_range_join(spark, sf):
     cells = _cells(spark, sf).select("sheet", "row", "col").distinct()
     areas = _t(spark, sf, "orders").select(
         (F.col("o_custkey") % 100 + 1).alias("sheet"), (F.col("o_orderkey") % 450 + 1).alias("top"), (F.col("o_orderkey") % 40 + 1).alias("left"), F.col("o_orderkey").alias("ord")
@@ -123,20 +66,20 @@ def merge_range_join_whole(spark, sf):
     return G.merged_cells(cells, areas, ["sheet"])
 
 
-def readable_cells_whole(spark, sf):
+def readable_cells(spark, sf):
     """Every order as a native cell and as a shown value; every third and every fourth stand in columns of their own, where the other side is empty."""
     o = _t(spark, sf, "orders")
     state = F.when(F.col("o_orderkey") % 11 == 0, "error").when(F.col("o_orderkey") % 7 == 0, "missing").when(F.col("o_orderkey") % 5 == 0, "blank").otherwise("value")
     at = lambda n, col: [(F.col("o_orderkey") % 10).alias("sheet"), F.col("o_orderkey").alias("row"), F.when(F.col("o_orderkey") % n == 0, col).otherwise(1).alias("col")]
     native = o.select(*at(3, 2), F.col("o_orderstatus").alias("value"), state.alias("state"))
-    return G.readable_cells(native, o.select(*at(4, 3), F.col("o_orderpriority").alias("value")), ["sheet"])
+    return G.readable_cells(native, o.select(*at(4, 3), F.col("o_orderpriority").alias("value")), ["sheet"]).select("sheet", "row", "col", "text")
 
 
-def addressed_grid_whole(spark, sf):
+def addressed_grid(spark, sf):
     return G.addressed_rows(_cells(spark, sf).groupBy("sheet", "row", "col").agg(F.min("l_returnflag").alias("text")), ["sheet"])
 
 
-def repeat_expansion_whole(spark, sf):
+def repeat_expansion(spark, sf):
     runs = _t(spark, sf, "orders").select(
         "o_orderkey", F.lit(1).cast("long").alias("row"), F.lit(1).cast("long").alias("col"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("value"),
         (F.col("o_orderkey") % 4 + 1).cast("int").alias("row_repeat"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("col_repeat"),
@@ -144,7 +87,7 @@ def repeat_expansion_whole(spark, sf):
     return G.expand_repeats(runs).select("o_orderkey", "row", "col", "value", "kind")
 
 
-def shared_formulas_whole(spark, sf):
+def shared_formulas(spark, sf):
     """All orders as sheets of 2,000 rows; the first twenty rows of a sheet are its masters."""
     row = F.col("o_orderkey") % 2000 + 1
     cells = _t(spark, sf, "orders").select(
@@ -154,14 +97,14 @@ def shared_formulas_whole(spark, sf):
     return G.shared_formulas(cells, ["sheet"]).select("sheet", "row", "formula")
 
 
-def inherited_attributes_whole(spark, sf):
+def inherited_attributes(spark, sf):
     """The page tree over all orders, under order 0; a path has as many levels as its id has digits to base 4, and the root."""
     ids = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderstatus")).alias("rotation"))
     digits = "cast(if(id = 0, 0, ceil(length(bin(id)) / 2)) as int)"
     return R.inherited(ids.withColumn("path", F.expr(f"transform(sequence({digits}, 0, -1), k -> shiftright(id, 2 * k))")), "rotation").select("id", "rotation")
 
 
-def fallback_chain_whole(spark, sf):
+def fallback_chain(spark, sf):
     part = _t(spark, sf, "part")
     items = part.select(
         F.col("p_partkey").alias("id"), (F.col("p_size") > 25).alias("usable"), F.when(F.col("p_partkey") % 9 != 0, (F.col("p_partkey") * 7) % max(part.count(), 1) + 1).alias("fallback")
@@ -269,30 +212,32 @@ QUERIES = {
     "merge_range_join": (
         merge_range_join,
         f"""SELECT c.sheet, c.row, c.col, min(a.ord) AS merge_ord FROM (SELECT DISTINCT sheet, row, col FROM ({_CELLS})) c JOIN (SELECT o_custkey % 100 + 1 AS sheet, o_orderkey % 450 + 1 AS t, o_orderkey % 40 + 1 AS l,
- o_orderkey AS ord FROM orders WHERE o_orderkey % 50 = 0) a ON a.sheet = c.sheet AND c.row BETWEEN t AND t + ord % 90 AND c.col BETWEEN l AND l + 9 GROUP BY ALL""",
+ o_orderkey AS ord FROM orders) a ON a.sheet = c.sheet AND c.row BETWEEN t AND t + ord % 90 AND c.col BETWEEN l AND l + 9 GROUP BY ALL""",
     ),
     "readable_cells": (
         readable_cells,
-        """SELECT o_orderkey % 10 AS sheet, o_orderkey AS row, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 11 = 0 THEN o_orderstatus
- WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 0 THEN '[missing cached result]' WHEN o_orderkey % 4 <> 0 THEN o_orderpriority WHEN o_orderkey % 5 = 0 THEN '[blank]' ELSE o_orderstatus END AS text
- FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 0""",
+        """WITH n AS (SELECT o_orderkey % 10 AS sheet, o_orderkey AS row, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS col, o_orderstatus AS v,
+ CASE WHEN o_orderkey % 11 = 0 THEN 'error' WHEN o_orderkey % 7 = 0 THEN 'missing' WHEN o_orderkey % 5 = 0 THEN 'blank' ELSE 'value' END AS state FROM orders),
+ s AS (SELECT o_orderkey % 10 AS sheet, o_orderkey AS row, CASE WHEN o_orderkey % 4 = 0 THEN 3 ELSE 1 END AS col, o_orderpriority AS shown FROM orders)
+ SELECT sheet, row, col, CASE WHEN state = 'error' THEN v WHEN state = 'missing' THEN '[missing cached result]' WHEN shown IS NOT NULL THEN shown WHEN state = 'blank' THEN '[blank]' ELSE v END AS text
+ FROM n FULL JOIN s USING (sheet, row, col)""",
     ),
     "addressed_grid": (
         addressed_grid,
         f"""SELECT sheet, row, '| ' || row || ' | ' || string_agg({_LETTERS.format(c='col')} || row || ': ' || t, ' | ' ORDER BY col) || ' |' AS line FROM (
- SELECT sheet, row, col, min(l_returnflag) AS t FROM ({_CELLS}) WHERE sheet <= 10 GROUP BY ALL) GROUP BY sheet, row""",
+ SELECT sheet, row, col, min(l_returnflag) AS t FROM ({_CELLS}) GROUP BY ALL) GROUP BY sheet, row""",
     ),
     "repeat_expansion": (
         repeat_expansion,
         """SELECT o_orderkey, 1 + r AS row, 1 + c AS col, o_orderstatus AS value, 'cell' AS kind FROM (SELECT o_orderkey, o_orderstatus, r, unnest(range(0, o_orderkey % 3 + 1)) AS c FROM (
- SELECT o_orderkey, o_orderstatus, unnest(range(0, o_orderkey % 4 + 1)) AS r FROM orders WHERE o_orderkey % 20 = 0 AND o_orderkey % 3 <> 0))
- UNION ALL SELECT o_orderkey, 1, 1, NULL, 'blank-range' FROM orders WHERE o_orderkey % 20 = 0 AND o_orderkey % 3 = 0""",
+ SELECT o_orderkey, o_orderstatus, unnest(range(0, o_orderkey % 4 + 1)) AS r FROM orders WHERE o_orderkey % 3 <> 0))
+ UNION ALL SELECT o_orderkey, 1, 1, NULL, 'blank-range' FROM orders WHERE o_orderkey % 3 = 0""",
     ),
     "formula_counts": (formula_counts, f"SELECT sheet, count(*) AS formulas FROM ({_CELLS}) WHERE l_returnflag = 'R' GROUP BY sheet"),
     "shared_formulas": (
         shared_formulas,
-        """SELECT f.o_orderkey AS row, 'SUM(A' || f.o_orderkey || ':$B$1)+C' || (1 + f.o_orderkey - m.o_orderkey) AS formula
- FROM orders f JOIN orders m ON m.o_orderkey BETWEEN 1 AND 20 AND m.o_orderkey % 20 = f.o_orderkey % 20 WHERE f.o_orderkey BETWEEN 1 AND 2000""",
+        """WITH c AS (SELECT o_orderkey // 2000 AS sheet, o_orderkey % 2000 + 1 AS row FROM orders)
+ SELECT f.sheet, f.row, 'SUM(A' || f.row || ':$B$1)+C' || (1 + f.row - m.row) AS formula FROM c f JOIN c m ON m.sheet = f.sheet AND m.row <= 20 AND m.row % 20 = f.row % 20""",
     ),
     "relationship_last_wins": (relationship_last_wins, "SELECT o_custkey AS rid, max(o_orderkey) AS ord, arg_max(o_orderpriority, o_orderkey) AS target FROM orders GROUP BY o_custkey"),
     "relationship_ambiguity": (relationship_ambiguity, "SELECT o_custkey AS rid, o_orderstatus AS type, count(*) AS matches FROM orders GROUP BY ALL HAVING count(*) <> 1"),
@@ -302,12 +247,13 @@ QUERIES = {
     ),
     "inherited_attributes": (
         inherited_attributes,
-        """WITH n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus END AS v FROM orders WHERE o_orderkey BETWEEN 1 AND 4095)
- SELECT n.id, arg_max(u.v, u.id) AS rotation FROM n LEFT JOIN (SELECT * FROM n WHERE v IS NOT NULL) u ON u.id IN (n.id, n.id // 4, n.id // 16, n.id // 64, n.id // 256, n.id // 1024, n.id // 4096) GROUP BY n.id""",
+        """WITH n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus END AS v FROM orders),
+ up AS (SELECT id, id // (4 ** unnest(range(0, 31)))::BIGINT AS above FROM n)
+ SELECT n.id, arg_max(u.v, u.id) AS rotation FROM n LEFT JOIN (SELECT up.id AS below, w.id, w.v FROM up JOIN n w ON w.id = up.above AND w.v IS NOT NULL) u ON u.below = n.id GROUP BY n.id""",
     ),
     "fallback_chain": (
         fallback_chain,
-        """WITH RECURSIVE i AS (SELECT p_partkey AS id, p_size > 25 AS usable, CASE WHEN p_partkey % 9 <> 0 THEN (p_partkey * 7) % 300 + 1 END AS nx FROM part WHERE p_partkey <= 300),
+        """WITH RECURSIVE i AS (SELECT p_partkey AS id, p_size > 25 AS usable, CASE WHEN p_partkey % 9 <> 0 THEN (p_partkey * 7) % (SELECT count(*) FROM part) + 1 END AS nx FROM part),
  c(id, cur, usable, nx, path) AS (SELECT id, id, usable, nx, [id] FROM i UNION ALL SELECT c.id, i.id, i.usable, i.nx, list_append(c.path, i.id) FROM c JOIN i ON i.id = c.nx
  WHERE NOT c.usable AND NOT list_contains(c.path, i.id)) SELECT id, max(CASE WHEN usable THEN cur END) AS target FROM c GROUP BY id""",
     ),
@@ -354,11 +300,4 @@ QUERIES = {
         """SELECT user_id, CASE WHEN bool_or(value > 40) AND bool_or(value < 1) THEN 'partial' WHEN bool_or(value > 40) THEN 'unavailable' ELSE arg_max(event_type, event_id) END AS status,
  coalesce(string_agg(event_type, '; ' ORDER BY event_id) FILTER (value > 40), '') AS reason FROM events GROUP BY user_id""",
     ),
-    "merge_range_join_whole": (merge_range_join_whole, None),
-    "readable_cells_whole": (readable_cells_whole, None),
-    "addressed_grid_whole": (addressed_grid_whole, None),
-    "repeat_expansion_whole": (repeat_expansion_whole, None),
-    "shared_formulas_whole": (shared_formulas_whole, None),
-    "inherited_attributes_whole": (inherited_attributes_whole, None),
-    "fallback_chain_whole": (fallback_chain_whole, None),
 }

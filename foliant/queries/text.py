@@ -79,7 +79,7 @@ def literal_fence(spark, sf):
 
 def heading_lines(spark, sf):
     level = (F.col("item_id") % 6 + 1).cast("int")
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", X.heading_line(F.substring("text", 1, 40), level).alias("line"))
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", X.heading_line(F.col("text"), level).alias("line"))
 
 
 def running_heads(spark, sf):
@@ -121,7 +121,7 @@ def report_caps(spark, sf):
 
 def conversation_units(spark, sf):
     first = _turns(spark, sf).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.min_by("text", "turn").alias("_t"))
-    label = F.substring(F.get(F.split("_t", "\n"), F.lit(0)), 1, 30)
+    label = F.get(F.split("_t", "\n"), F.lit(0))
     kind = F.lit("chapter")
     rows = first.select("conv_id", "turns", (F.col("conv_id") + 1).cast("int").alias("n"), label.alias("label"))
     return rows.select(
@@ -194,8 +194,8 @@ QUERIES = {
     "literal_fence": (literal_fence, "SELECT item_id, '```' || chr(10) || text || chr(10) || '```' AS fenced FROM benchmark"),
     "heading_lines": (
         heading_lines,
-        r"""SELECT item_id, CASE WHEN item_id % 6 + 1 > 4 THEN '**Heading ' || (item_id % 6 + 1) || ': ' || substr(text, 1, 40) || '**'
- ELSE repeat('#', (item_id % 6 + 3)::INT) || ' ' || substr(text, 1, 40) END AS line FROM benchmark""",
+        r"""SELECT item_id, CASE WHEN item_id % 6 + 1 > 4 THEN '**Heading ' || (item_id % 6 + 1) || ': ' || text || '**'
+ ELSE repeat('#', (item_id % 6 + 3)::INT) || ' ' || text END AS line FROM benchmark""",
     ),
     "running_heads": (
         running_heads,
@@ -220,7 +220,7 @@ QUERIES = {
     "conversation_units": (
         conversation_units,
         rf"""SELECT conv_id, turns, format('chapter/{{:06d}}', conv_id + 1) AS unit_key, format('unit-chapter-{{:06d}}', conv_id + 1) AS anchor,
- 'Chapter ' || (conv_id + 1) || ': "' || replace({_ESCAPED.format("substr(split_part(t, chr(10), 1), 1, 30)")}, '"', '&quot;') || '"' AS heading
+ 'Chapter ' || (conv_id + 1) || ': "' || replace({_ESCAPED.format("split_part(t, chr(10), 1)")}, '"', '&quot;') || '"' AS heading
  FROM (SELECT conv_id, count(*) AS turns, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id)""",
     ),
     "conversation_markdown": (

@@ -135,8 +135,12 @@ def compound_entries(sources: DataFrame) -> DataFrame:
     return map_rows(sources.select("source_id", "content"), ENTRIES, rows, most=64)
 
 
-def decompress_vba(data: bytes) -> bytes:
-    """The plain bytes of an MS-OVBA compressed container."""
+#: Bytes that a VBA container may expand to.
+MOST_VBA = 32 << 20
+
+
+def decompress_vba(data: bytes, most: int = MOST_VBA) -> bytes:
+    """The plain bytes of an MS-OVBA compressed container; one that is cut short or expands past ``most`` is refused."""
     if not data or data[0] != 1:
         raise Refusal("VBA container signature missing")
     out, at = bytearray(), 1
@@ -144,9 +148,13 @@ def decompress_vba(data: bytes) -> bytes:
         if at + 2 > len(data):
             raise Refusal("VBA chunk header cut short")
         header = struct.unpack_from("<H", data, at)[0]
-        end = min(at + (header & 0xFFF) + 3, len(data))
+        end = at + (header & 0xFFF) + 3
+        if end > len(data):
+            raise Refusal("VBA chunk cut short")
         at += 2
         start = len(out)
+        if start > most:
+            raise Refusal(f"VBA container expands past {most} bytes")
         if not header & 0x8000:
             out += data[at:end]
             at = end
@@ -170,6 +178,8 @@ def decompress_vba(data: bytes) -> bytes:
                     raise Refusal("VBA copy token out of range")
                 for _ in range(length):
                     out.append(out[-offset])
+    if len(out) > most:
+        raise Refusal(f"VBA container expands past {most} bytes")
     return bytes(out)
 
 

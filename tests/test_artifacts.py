@@ -61,3 +61,11 @@ def test_geometry(spark):
     assert got == {(1, 2): 2, (1, 3): 2, (1, 4): 2, (1, 5): 5, (2, 8): 8, (2, 9): 8}
     n = spark.createDataFrame([("1,234.5",), ("(12)",), ("$ 5 %",), ("a1",), ("",)], "t string")
     assert [r[0] for r in n.select(G.numeric_text(F.col("t"))).collect()] == [True, True, True, False, False]
+
+
+def test_long_chains_of_segments(spark):
+    n = 400
+    edges = spark.createDataFrame([(1, i + 1, i) for i in range(n)] + [(2, 5, 6)], "page long, a long, b long")
+    nodes = spark.createDataFrame([(1, i) for i in range(n + 1)] + [(2, 5), (2, 6), (2, 7)], "page long, id long")
+    got = {(r.page, r.id): r.component for r in G.touching(edges, nodes, ["page"]).collect()}
+    assert got == {(1, i): 0 for i in range(n + 1)} | {(2, 5): 5, (2, 6): 5, (2, 7): 7}

@@ -26,7 +26,7 @@ def test_whole_merges(spark):
     for s, row, col in {c[:3] for c in cells(spark)}:
         if inside := [k for k, t, b, l, r in areas[s] if t <= row <= b and l <= col <= r]:
             want.add((s, row, col, min(inside)))
-    got = [tuple(r) for r in Q.merge_range_join_whole(spark, SF).collect()]
+    got = [tuple(r) for r in Q.merge_range_join(spark, SF).collect()]
     assert want and len(got) == len(want) and set(got) == want
 
 
@@ -36,7 +36,7 @@ def test_whole_grid(spark):
         rows[s, row][col] = min(t, rows[s, row].get(col, t))
     letter = lambda c: chr(64 + c) if c <= 26 else chr(64 + (c - 1) // 26) + chr(65 + (c - 1) % 26)
     want = {(s, r): f"| {r} | " + " | ".join(f"{letter(c)}{r}: {t}" for c, t in sorted(v.items())) + " |" for (s, r), v in rows.items()}
-    got = Q.addressed_grid_whole(spark, SF).collect()
+    got = Q.addressed_grid(spark, SF).collect()
     assert len(got) == len(want) and {(r.sheet, r.row): r.line for r in got} == want
 
 
@@ -56,9 +56,9 @@ def test_whole_orders(spark):
             runs += [(k, 1 + i, 1 + j, r.o_orderstatus, "cell") for i in range(k % 4 + 1) for j in range(k % 3 + 1)]
         else:
             runs.append((k, 1, 1, None, "blank-range"))
-    got = Q.readable_cells_whole(spark, SF).collect()
+    got = Q.readable_cells(spark, SF).collect()
     assert len(got) == len(want) and {(r.sheet, r.row, r.col): r.text for r in got} == want
-    assert sorted(map(str, map(tuple, Q.repeat_expansion_whole(spark, SF).collect()))) == sorted(map(str, runs))
+    assert sorted(map(str, map(tuple, Q.repeat_expansion(spark, SF).collect()))) == sorted(map(str, runs))
 
 
 def test_whole_trees_and_formulas(spark):
@@ -71,8 +71,8 @@ def test_whole_trees_and_formulas(spark):
             n //= 4
         return own.get(n)
 
-    assert {r.id: r.rotation for r in Q.inherited_attributes_whole(spark, sf).collect()} == {k: nearest(k) for k in own}
-    got = {(r.sheet, r.row): r.formula for r in Q.shared_formulas_whole(spark, sf).collect()}
+    assert {r.id: r.rotation for r in Q.inherited_attributes(spark, sf).collect()} == {k: nearest(k) for k in own}
+    got = {(r.sheet, r.row): r.formula for r in Q.shared_formulas(spark, sf).collect()}
     want = {}
     for k in own:
         sheet, row = divmod(k, 2000)
@@ -94,7 +94,7 @@ def test_whole_fallbacks(spark):
         return None
 
     assert len(part) > 300
-    assert {r.id: r.target for r in Q.fallback_chain_whole(spark, "/root/testdata/sf0.01").collect()} == {k: follow(k) for k in part}
+    assert {r.id: r.target for r in Q.fallback_chain(spark, "/root/testdata/sf0.01").collect()} == {k: follow(k) for k in part}
 
 
 def test_chains_of_any_length(spark):

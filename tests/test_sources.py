@@ -132,6 +132,23 @@ def test_nested_documents(spark):
     assert got == {(1, 0, "o.zip"), (2, 0, "m.eml"), (1, 1, "in.zip"), (1, 1, "a.html"), (1, 2, "x.txt"), (2, 1, "a.txt")}
 
 
+def test_documents_below_the_deepest_level_are_named(spark):
+    data = D.zipped({"x.txt": "deep"})
+    for n in range(19):
+        data = D.zipped({f"{n}.zip": data})
+    df = spark.createDataFrame([(1, "o.zip", bytearray(data))], "source_id long, name string, content binary")
+    got = C.nested_documents(df).collect()
+    assert sorted(r.depth for r in got) == list(range(18)) and all((r.reason is None) == (r.depth <= 16) == (r.content is not None) for r in got)
+    assert {r.reason for r in got if r.depth == 17} == {"nested deeper than 16 levels"}
+
+
+def test_damaged_vba_is_refused():
+    with pytest.raises(Refusal, match="cut short"):
+        compound.decompress_vba(b"\x01\x05\xb0\x02aE\x00")
+    with pytest.raises(Refusal, match="expands past 70 bytes"):
+        compound.decompress_vba(b"\x01\x03\xb0\x02aE\x00", 70)
+
+
 def test_stream_converts_what_arrives(spark, folder, tmp_path):
     q = stream.convert_stream(spark, folder, str(tmp_path / "out"), str(tmp_path / "cp"), "*.{docx,eml}")
     q.awaitTermination(120)

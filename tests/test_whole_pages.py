@@ -17,11 +17,11 @@ def test_recovered_elements_are_counted(spark):
 
 def test_whole_tag_histogram(spark):
     want = Counter(n.tag for r in Q._pages(spark, SF).collect() for n in parse(r.html).walk() if n.tag not in (TEXT, COMMENT) and not n.tag.startswith("-"))
-    got = Q.html_tag_histogram_whole(spark, SF).collect()
+    got = Q.html_tag_histogram(spark, SF).collect()
     assert {"p", "b", "html", "head", "body"} <= set(want) and len(got) == len(want) and {r.tag: r.n for r in got} == want
 
 
 def test_whole_inspection_counts(spark):
-    want = Counter((r.page_id, *f[:2]) for r in Q._pages(spark, SF).collect() for f in html_evidence(r.html))
-    got = Q.inspection_counts_whole(spark, SF).collect()
-    assert len(got) == len(want) and {(r.page_id, r.capability, r.kind): r.n for r in got} == want
+    want = Counter((r.page_id, f[0]) for r in Q._pages(spark, SF).collect() for f in html_evidence(r.html))
+    got = Q.inspection_counts(spark, SF).collect()
+    assert len(got) == len(want) and {(r.page_id, r.capability): r.n for r in got} == want
