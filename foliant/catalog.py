@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.queries import html, platform, relations, text
+from foliant.queries import fixtures, html, platform, relations, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (html, text, relations, platform)
+MODULES = (html, text, relations, platform, fixtures)
 
 
 def queries() -> dict[str, Query]:
