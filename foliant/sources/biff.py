@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from foliant.functions.arrow import map_rows
+from foliant.functions.formula_tokens import ERRORS, Names, formula_text, sheet_label
 from foliant.functions.html_markdown import Refusal
 from foliant.sources.compound import Compound
 from foliant.sources.packages import Package
@@ -16,7 +17,7 @@ from foliant.sources.packages import Package
 # Record types of the two formats.
 BOF, EOF, SHEET, SST, CONTINUE = 0x0809, 0x000A, 0x0085, 0x00FC, 0x003C
 LABELSST, NUMBER, RK, MULRK, BOOLERR, FORMULA, STRING, LABEL, BLANK, MULBLANK, FILEPASS = 0x00FD, 0x0203, 0x027E, 0x00BD, 0x0205, 0x0006, 0x0207, 0x0204, 0x0201, 0x00BE, 0x002F
-ERRORS = {0x00: "#NULL!", 0x07: "#DIV/0!", 0x0F: "#VALUE!", 0x17: "#REF!", 0x1D: "#NAME?", 0x24: "#NUM!", 0x2A: "#N/A"}
+NAME, EXTERNSHEET, SHRFMLA = 0x0018, 0x0017, 0x04BC
 STATES = {0: "visible", 1: "hidden", 2: "veryHidden"}
 RECORDS = T.StructType([T.StructField("source_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("type", T.IntegerType()), T.StructField("size", T.IntegerType())])
 Cell = tuple[int, str, str, int, int, str, str | None, str | None, str | None]
@@ -85,13 +86,13 @@ def _long(data: bytes) -> str:
 
 
 def xls_cells(raw: bytes) -> Iterator[Cell]:
-    """Cells of a BIFF8 workbook with their cached values; formulas are marked, not decoded."""
+    """Cells of a BIFF8 workbook with their cached values and formulas; a formula that can't be decoded is marked by an empty text."""
     book = next((c for _, path, kind, _, c, _ in Compound(raw).entries() if kind == "stream" and path.lower() in ("workbook", "book")), None)
     if book is None:
         raise Refusal("workbook stream missing")
     sheets: list[tuple[int, str, str]] = []
     shared: list[bytes] = []
-    last = 0
+    last, linked, defined = 0, b"", []
     if book[:2] != struct.pack("<H", BOF):
         raise Refusal("BIFF version refused")
     for _, kind, data in records(book):
@@ -103,6 +104,10 @@ def xls_cells(raw: bytes) -> Iterator[Cell]:
             sheets.append((struct.unpack_from("<I", data)[0], _short(data[6:]), STATES.get(data[4] & 3, "visible")))
         elif kind == SST or kind == CONTINUE and last == SST:
             shared.append(data)
+        elif kind == EXTERNSHEET:
+            linked = data
+        elif kind == NAME:
+            defined.append(_defined_name(data))
         if kind != CONTINUE:
             last = kind
         if kind == EOF:
@@ -112,9 +117,12 @@ def xls_cells(raw: bytes) -> Iterator[Cell]:
         unique = struct.unpack_from("<I", shared[0], 4)[0]
         reader = _Strings([shared[0][8:], *shared[1:]])
         strings = [reader.string() for _ in range(unique)]
+    spans = [struct.unpack_from("<Hhh", linked, 2 + 6 * i)[1:] for i in range((len(linked) - 2) // 6)]
+    labels = [sheet_label(sheets[a][1], sheets[z][1]) if 0 <= a <= z < len(sheets) else None for a, z in spans]
     for ordinal, (at, name, state) in enumerate(sheets, 1):
-        waiting: tuple[int, int] | None = None
+        waiting: tuple[int, int, str] | None = None
         depth = 0
+        names = Names(defined, labels, _shared_formulas(book, at))
         for _, kind, d in records(book, at):
             depth += (kind == BOF) - (kind == EOF)
             if depth == 0:
@@ -147,21 +155,45 @@ def xls_cells(raw: bytes) -> Iterator[Cell]:
                     yield ordinal, name, state, row + 1, first + i + 1, "number" if value else "blank", value, None, None
             elif kind == FORMULA:
                 value = d[6:14]
+                text = formula_text(d[22 : 22 + struct.unpack_from("<H", d, 20)[0]], names, False, row - 1, col - 1) if len(d) >= 22 else ""
                 if value[6:8] != b"\xff\xff":
-                    yield *place, "number", repr(struct.unpack("<d", value)[0]), "", "cached"
+                    yield *place, "number", repr(struct.unpack("<d", value)[0]), text, "cached"
                 elif value[0] == 0:
-                    waiting = (row, col)
+                    waiting = (row, col, text)
                 elif value[0] == 1:
-                    yield *place, "boolean", "true" if value[2] else "false", "", "cached"
+                    yield *place, "boolean", "true" if value[2] else "false", text, "cached"
                 elif value[0] == 2:
-                    yield *place, "error", ERRORS.get(value[2], "#ERR"), "", "cached"
+                    yield *place, "error", ERRORS.get(value[2], "#ERR"), text, "cached"
                 else:
-                    yield *place, "string", "", "", "cached"
+                    yield *place, "string", "", text, "cached"
             elif kind == STRING and waiting:
-                yield ordinal, name, state, *waiting, "string", _long(d), "", "cached"
+                yield ordinal, name, state, *waiting[:2], "string", _long(d), waiting[2], "cached"
                 waiting = None
 
 
+def _defined_name(data: bytes) -> str:
+    """The name of a NAME record; built-in names are numbers and get none."""
+    flags, _, count = struct.unpack_from("<HBB", data)
+    if flags & 0x20 or len(data) < 15:
+        return "#NAME?"
+    return data[15 : 15 + 2 * count].decode("utf-16-le", "replace") if data[14] & 1 else data[15 : 15 + count].decode("latin-1")
+
+
+def _shared_formulas(book: bytes, at: int) -> dict[tuple[int, int], bytes]:
+    """Shared formulas of a sheet by the cell that their cells name, which is the formula before the record."""
+    found: dict[tuple[int, int], bytes] = {}
+    cell, depth = (0, 0), 0
+    for _, kind, d in records(book, at):
+        depth += (kind == BOF) - (kind == EOF)
+        if depth == 0:
+            break
+        if kind == FORMULA:
+            cell = struct.unpack_from("<HH", d)
+        elif kind == SHRFMLA and len(d) >= 10:
+            found[cell] = d[10 : 10 + struct.unpack_from("<H", d, 8)[0]]
+    return found
+
+
 def records12(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(offset, type, payload) of a BIFF12 part."""
 
@@ -211,6 +243,15 @@ def xlsb_cells(raw: bytes) -> Iterator[Cell]:
     part = next((r[4] for r in rels.values() if r[1].endswith("/sharedStrings")), None)
     if part in package.zip.NameToInfo:
         strings = [_wide(d, 1)[0] for _, kind, d in records12(package.read(part)) if kind == 19]
+    bundled, spans, defined = [], [], []
+    for _, kind, d in records12(package.read(book)):
+        if kind == 156:
+            bundled.append(_wide(d, _wide(d, 8)[1])[0])
+        elif kind == 362:
+            spans = [struct.unpack_from("<Iii", d, 4 + 12 * i)[1:] for i in range((len(d) - 4) // 12)]
+        elif kind == 39:
+            defined.append(_wide(d, 9)[0])
+    labels = [sheet_label(bundled[a], bundled[z]) if 0 <= a <= z < len(bundled) else None for a, z in spans]
     ordinal = 0
     for _, kind, d in records12(package.read(book)):
         if kind != 156:
@@ -223,12 +264,14 @@ def xlsb_cells(raw: bytes) -> Iterator[Cell]:
             continue
         ordinal += 1
         row = 0
-        for _, k, c in records12(package.read(rel[4])):
+        sheet = package.read(rel[4])
+        names = Names(defined, labels, _shared_formulas12(sheet))
+        for _, k, c in records12(sheet):
             if k == 0:
                 row = struct.unpack_from("<I", c)[0] + 1
             elif 1 <= k <= 11:
                 place = (ordinal, name, state, row, struct.unpack_from("<I", c)[0] + 1)
-                formula, cached = ("", "cached") if k >= 8 else (None, None)
+                formula, cached = (_formula12(k, c, names, row - 1, place[4] - 1), "cached") if k >= 8 else (None, None)
                 if k == 1:
                     yield *place, "blank", None, None, None
                 elif k == 2:
@@ -248,6 +291,30 @@ def xlsb_cells(raw: bytes) -> Iterator[Cell]:
                     yield *place, "string", strings[index], None, None
 
 
+def _tokens12(kind: int, cell: bytes) -> bytes:
+    """The token stream of a formula cell, after its cached value and flags."""
+    at = {8: lambda: _wide(cell, 8)[1], 9: lambda: 16, 10: lambda: 9, 11: lambda: 9}[kind]() + 2
+    return cell[at + 4 : at + 4 + struct.unpack_from("<I", cell, at)[0]] if at + 4 <= len(cell) else b""
+
+
+def _formula12(kind: int, cell: bytes, names: Names, row: int, column: int) -> str:
+    return formula_text(_tokens12(kind, cell), names, True, row, column)
+
+
+def _shared_formulas12(sheet: bytes) -> dict[tuple[int, int], bytes]:
+    """Shared formulas of a sheet by the cell before the record, as its cells name it."""
+    found: dict[tuple[int, int], bytes] = {}
+    row = column = 0
+    for _, kind, d in records12(sheet):
+        if kind == 0:
+            row = struct.unpack_from("<I", d)[0]
+        elif 8 <= kind <= 11:
+            column = struct.unpack_from("<I", d)[0]
+        elif kind == 427 and len(d) >= 20:
+            found[row, column] = d[20 : 20 + struct.unpack_from("<I", d, 16)[0]]
+    return found
+
+
 def biff_records(streams: DataFrame) -> DataFrame:
     """(source_id, offset, type, size) of each record of BIFF streams (source_id, content)."""
 

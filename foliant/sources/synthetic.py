@@ -221,3 +221,47 @@ def vba_project() -> bytes:
     version = struct.pack("<HI", 0x09, 4) + bytes(6)
     directory = entry(0x03, struct.pack("<H", 1252)) + version + entry(0x19, b"Module1") + entry(0x1A, b"Module1") + entry(0x31, struct.pack("<I", 2)) + entry(0x2B, b"")
     return compound({"dir": vba_container(directory), "Module1": b"xx" + vba_container(b"Sub A()\r\nEnd Sub\r\n")})
+
+
+def xls_with_formulas() -> bytes:
+    """A BIFF8 sheet with a plain formula, a shared one of two cells, a reference to a sheet, a name, and one that no reader knows."""
+    relative = 0xC000
+    number = struct.pack("<d", 1.0)
+
+    def formula(row, tokens):
+        return _record(0x06, struct.pack("<HHH", row, 1, 0) + number + struct.pack("<HIH", 0, 0, len(tokens)) + tokens)
+
+    bof = lambda t: _record(0x809, struct.pack("<HHHHII", 0x600, t, 0, 0, 0, 0))
+    end = _record(0x0A)
+    name = _record(0x18, struct.pack("<HBBHHHBBBB", 0, 0, 5, 0, 0, 0, 0, 0, 0, 0) + b"\0Total")
+    linked = _record(0x1AE, struct.pack("<HH", 1, 0x0401)) + _record(0x17, struct.pack("<HHhh", 1, 0, 0, 0)) + name
+    sheet = lambda at: _record(0x85, struct.pack("<IBB", at, 0, 0) + struct.pack("<BB", 1, 0) + b"S")
+    shared = struct.pack("<BHH", 0x4C, 0, relative | 0xFF) + struct.pack("<BHH", 0x44, 0, 0) + b"\x03"
+    first = struct.pack("<BHH", 0x01, 1, 1)
+    cells = (
+        formula(0, struct.pack("<BHH", 0x44, 0, relative) + struct.pack("<BH", 0x1E, 2) + b"\x05") + formula(1, first) + _record(0x4BC, struct.pack("<HHBBBBH", 1, 2, 1, 1, 0, 2, len(shared)) + shared)
+        + formula(2, first) + formula(3, struct.pack("<BHHHHH", 0x3B, 0, 0, 2, relative, relative) + struct.pack("<BBH", 0x42, 1, 4))
+        + formula(4, struct.pack("<BHH", 0x43, 1, 0) + struct.pack("<BH", 0x1E, 2) + b"\x06") + formula(5, struct.pack("<BH", 0x41, 9999))
+    )
+    head = bof(5)
+    return compound({"Workbook": head + sheet(len(head) + len(sheet(0)) + len(linked) + len(end)) + linked + end + bof(0x10) + cells + end})
+
+
+def xlsb_with_formulas() -> bytes:
+    def record(kind, data=b""):
+        return (bytes([kind]) if kind < 128 else bytes([kind & 0x7F | 0x80, kind >> 7])) + bytes([len(data)]) + data
+
+    wide = lambda s: struct.pack("<I", len(s)) + s.encode("utf-16-le")
+    at = lambda c: struct.pack("<II", c, 0)
+    tokens = lambda t: struct.pack("<HI", 0, len(t)) + t + struct.pack("<I", 0)
+    double = struct.pack("<BIH", 0x44, 0, 0xC000) + struct.pack("<BH", 0x1E, 2) + b"\x05"
+    linked = struct.pack("<BHIH", 0x3A, 0, 0, 0xC000) + b"\x17" + struct.pack("<H", 1) + "x".encode("utf-16-le") + b"\x08"
+    cells = record(0, struct.pack("<I", 0)) + record(5, at(0) + struct.pack("<d", 4.0)) + record(9, at(1) + struct.pack("<d", 8.0) + tokens(double)) + record(8, at(2) + wide("4x") + tokens(linked))
+    return zipped(
+        {
+            "_rels/.rels": RELS.format(rel("r", "officeDocument", "xl/workbook.bin")),
+            "xl/_rels/workbook.bin.rels": RELS.format(rel("s", "worksheet", "worksheets/a.bin")),
+            "xl/workbook.bin": record(156, struct.pack("<II", 0, 1) + wide("s") + wide("S")) + record(357) + record(362, struct.pack("<IIii", 1, 0, 0, 0)),
+            "xl/worksheets/a.bin": cells,
+        }
+    )
