@@ -461,6 +461,34 @@ def pdf_lines(spark):
     return pdf.pdf_page_lines(_files(spark, ["r.pdf"])).select(F.col("page").cast("long").alias("page"), "x0", "top", "text")
 
 
+@_query("page long, table long, row long, col long, text string", [(1, 1, 1, 1, "Name"), (1, 1, 1, 2, "Value"), (1, 1, 2, 1, "a|b"), (1, 1, 2, 2, "1 000"), (1, 1, 3, 1, "c"), (1, 1, 3, 2, "2")])
+def pdf_table_cells(spark):
+    found = pdf.pdf_table_cells(spark.createDataFrame([(1, bytearray(D.ruled_page()))], "source_id long, content binary"))
+    return found.select(*[F.col(c).cast("long").alias(c) for c in ("page", "table", "row", "col")], "text")
+
+
+@_query("name string, markdown string", [("t.pdf", "Before\n\n| Name | Value |\n| --- | --- |\n| a\\|b | 1 000 |\n| c | 2 |\n\nAfter\nboxed\n")])
+def pdf_table_markdown(spark):
+    src = with_route(spark.createDataFrame([(1, "t.pdf", bytearray(D.ruled_page()))], "source_id long, name string, content binary"))
+    return C.convert(src, body_only=True).select("name", F.regexp_replace("markdown", r"(?s)^.*## Page 1\n\n", "").alias("markdown"))
+
+
+_FORMULA = "sheet string, row long, col long, value string, formula string"
+
+
+@_query(_FORMULA, [("S", 1, 2, "1.0", "A1*2"), ("S", 2, 2, "1.0", "A2+$A$1"), ("S", 3, 2, "1.0", "A3+$A$1"), ("S", 4, 2, "1.0", "SUM(S!A1:A3)"), ("S", 5, 2, "1.0", "Total/2"), ("S", 6, 2, "1.0", "")])
+def xls_formulas(spark):
+    """Plain and shared formulas, one over a sheet's name, one over a defined name, and one that is only marked."""
+    src = with_route(spark.createDataFrame([(1, "a.xls", bytearray(D.xls_with_formulas()))], "source_id long, name string, content binary"))
+    return workbooks.workbook_cells(src).where("formula is not null").withColumns({c: F.col(c).cast("long") for c in ("row", "col")})
+
+
+@_query(_FORMULA, [("S", 1, 2, "8.0", "A1*2"), ("S", 1, 3, "4x", 'S!A1&"x"')])
+def xlsb_formulas(spark):
+    src = with_route(spark.createDataFrame([(1, "a.xlsb", bytearray(D.xlsb_with_formulas()))], "source_id long, name string, content binary"))
+    return workbooks.workbook_cells(src).where("formula is not null").withColumns({c: F.col(c).cast("long") for c in ("row", "col")})
+
+
 @_query("n int, data string", [(0, "abcddd"), (1, "-----A---B"), (2, "Hello"), (3, "unsupported filter")])
 def pdf_filters(spark):
     given = [b"\x02abc\xfed\x80", bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]), b"87cURD]~>", b"x"]

@@ -18,6 +18,7 @@ from foliant.functions import markdown as md
 from foliant.functions.arrow import map_rows
 from foliant.functions.html_markdown import Block, Refusal
 from foliant.functions.sanitise import sanitise
+from foliant.sources.pdf_tables import Rule, Table, find_tables, rule_of, rules_of_box
 
 STREAM_BYTES, PAGES, DEPTH = 64 << 20, 5_000, 64
 PAGE_LINES = T.StructType(
@@ -30,6 +31,7 @@ PAGE_LINES = T.StructType(
         T.StructField("text", T.StringType()),
     ]
 )
+TABLE_CELLS = T.StructType([T.StructField("source_id", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("page", "table", "row", "col")], T.StructField("text", T.StringType())])
 _TOKEN = re.compile(rb"[\0\t\n\f\r ]+|%[^\r\n]*|(/[^\0\t\n\f\r ()<>\[\]{}/%]*)|(<<|>>|[\[\]{}])|<([0-9A-Fa-f\0\t\n\f\r ]*)>|([+-]?(?:\d+\.?\d*|\.\d+))(?![^\0\t\n\f\r ()<>\[\]{}/%])|([^\0\t\n\f\r ()<>\[\]{}/%]+)|(\()")
 _OBJECT = re.compile(rb"(?<!\d)(\d{1,9})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj(?![A-Za-z])")
 
@@ -405,8 +407,8 @@ def _cmap(data: bytes) -> dict[int, str]:
         return codes
 
 
-def page_texts(pdf: Pdf, page: dict) -> list[tuple[float, float, float, str]]:
-    """(y, x, size, text) of each shown string, by the text and graphics matrices; forms are followed."""
+def page_texts(pdf: Pdf, page: dict, rules: list[Rule] | None = None) -> list[tuple[float, float, float, str]]:
+    """(y, x, size, text) of each shown string, by the text and graphics matrices; forms are followed. Drawn rules go into ``rules``."""
     out: list[tuple[float, float, float, str]] = []
 
     def mul(a, b):
@@ -418,6 +420,18 @@ def page_texts(pdf: Pdf, page: dict) -> list[tuple[float, float, float, str]]:
         tm = lm = (1, 0, 0, 1, 0, 0)
         show, size, leading, saved, args = (lambda b: b.decode("cp1252", "replace")), 1.0, 0.0, [], []
         lexer = Lexer(data)
+        segments: list[tuple] = []  # of the path at hand: two ends, or a box
+        start = here = (0.0, 0.0)
+
+        def place(x: float, y: float) -> tuple[float, float]:
+            return x * ctm[0] + y * ctm[2] + ctm[4], x * ctm[1] + y * ctm[3] + ctm[5]
+
+        def painted(stroked: bool) -> None:
+            for kind, a, b in segments:
+                if kind == "box":
+                    rules.extend(rules_of_box(*a, *b, stroked))
+                elif stroked and (r := rule_of(a, b)):
+                    rules.append(r)
 
         def put(raw: bytes) -> None:
             nonlocal tm
@@ -442,6 +456,24 @@ def page_texts(pdf: Pdf, page: dict) -> list[tuple[float, float, float, str]]:
                             ctm, size, show, leading = saved.pop()
                         case b"cm":
                             ctm = mul(tuple(a[-6:]), ctm)
+                        case b"m":
+                            start = here = place(*a[-2:])
+                        case b"l":
+                            there = place(*a[-2:])
+                            segments.append(("line", here, there))
+                            here = there
+                        case b"re":
+                            x, y, w, h = a[-4:]
+                            segments.append(("box", place(x, y), place(x + w, y + h)))
+                        case b"h":
+                            segments.append(("line", here, start))
+                            here = start
+                        case b"S" | b"s" | b"B" | b"b" | b"B*" | b"b*" | b"f" | b"F" | b"f*" | b"n":
+                            if op in (b"s", b"b", b"b*"):
+                                segments.append(("line", here, start))
+                            if rules is not None and op != b"n":
+                                painted(op not in (b"f", b"F", b"f*"))
+                            segments.clear()
                         case b"BT":
                             tm = lm = (1, 0, 0, 1, 0, 0)
                         case b"Tf":
@@ -495,8 +527,20 @@ def page_texts(pdf: Pdf, page: dict) -> list[tuple[float, float, float, str]]:
 
 def page_lines(pdf: Pdf, page: dict) -> list[tuple[float, float, float, str]]:
     """(top, x0, size, text) of each line in reading order: strings whose baselines are within half a size."""
+    return _lines(page_texts(pdf, page))
+
+
+def page_tables(pdf: Pdf, page: dict) -> tuple[list[Table], list[tuple[float, float, float, str]]]:
+    """The ruled tables of a page, and the lines of what stands outside them."""
+    rules: list[Rule] = []
+    texts = page_texts(pdf, page, rules)
+    tables = find_tables(rules, texts)
+    return tables, _lines([t for t in texts if not any(k.holds(t) for k in tables)])
+
+
+def _lines(texts: list[tuple[float, float, float, str]]) -> list[tuple[float, float, float, str]]:
     lines: list[list] = []
-    for y, x, size, text in sorted(page_texts(pdf, page), key=lambda t: (-t[0], t[1])):
+    for y, x, size, text in sorted(texts, key=lambda t: (-t[0], t[1])):
         if lines and abs(lines[-1][0] - y) <= 0.5 * size:
             lines[-1][3].append((x, text))
         else:
@@ -505,27 +549,53 @@ def page_lines(pdf: Pdf, page: dict) -> list[tuple[float, float, float, str]]:
 
 
 def pdf_units(raw: bytes) -> list[tuple[str, list[Block]]]:
-    """A unit per page; a new block where the gap between lines exceeds 1.6 times the usual pitch."""
+    """A unit per page; a new block where the gap between lines exceeds 1.6 times the usual pitch, and ruled tables in their places."""
     pdf = Pdf(raw)
     units: list[tuple[str, list[Block]]] = []
     for page in pdf.pages():
-        lines = page_lines(pdf, page)
+        tables, lines = page_tables(pdf, page)
         gaps = sorted(a[0] - b[0] for a, b in zip(lines, lines[1:]))
         usual = gaps[len(gaps) // 2] if gaps else 0.0
         blocks: list[Block] = []
+        waiting = list(tables)
         for i, (y, _, _, text) in enumerate(lines):
+            before = len(blocks)
+            while waiting and waiting[0].bottom > y:
+                blocks.append(_table_block(waiting.pop(0)))
             clean = sanitise(text)[0].strip()
             if not clean:
                 continue
-            if not blocks or i and lines[i - 1][0] - y > 1.6 * usual:
+            if not blocks or len(blocks) > before or i and lines[i - 1][0] - y > 1.6 * usual:
                 blocks.append(Block("text"))
             blocks[-1].lines.append(md.escape_line_start(md.escape(clean)))
+        blocks += map(_table_block, waiting)
         units.append((f"Page {len(units) + 1}", blocks))
     if not any(blocks for _, blocks in units):
         raise Refusal("PDF without a text layer")
     return units
 
 
+def _table_block(table: Table) -> Block:
+    return Block("table", md.table([[md.escape(sanitise(c)[0].strip()) for c in row] for row in table.rows]))
+
+
+def pdf_table_cells(sources: DataFrame) -> DataFrame:
+    """(source_id, page, table, row, col, text): the cells of ruled tables, rows and columns from 1."""
+
+    def rows(source_id: int, content: bytes | None):
+        try:
+            pdf = Pdf(content or b"")
+            for n, page in enumerate(pdf.pages(), 1):
+                for k, table in enumerate(page_tables(pdf, page)[0], 1):
+                    for r, row in enumerate(table.rows, 1):
+                        for c, text in enumerate(row, 1):
+                            yield source_id, n, k, r, c, text
+        except Refusal:
+            return
+
+    return map_rows(sources.select("source_id", "content"), TABLE_CELLS, rows)
+
+
 def pdf_page_lines(sources: DataFrame) -> DataFrame:
     """Lines of each page with their places, for furniture, bands and columns as DataFrame operators."""
 

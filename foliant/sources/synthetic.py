@@ -265,3 +265,13 @@ def xlsb_with_formulas() -> bytes:
             "xl/worksheets/a.bin": cells,
         }
     )
+
+
+def ruled_page() -> bytes:
+    """Prose, a table of three rows and two columns drawn by lines, boxes and thin fills, and prose again; and a lone box."""
+    rows, columns = (600, 620, 640, 660), (100, 200, 300)
+    drawn = b"".join(b"%d %d m %d %d l S\n" % (columns[0], y, columns[-1], y) for y in rows[1:3])
+    drawn += b"%d %d %d %d re S\n" % (columns[0], rows[0], columns[-1] - columns[0], rows[-1] - rows[0]) + b"%d %d 0.5 %d re f\n" % (columns[1], rows[0], rows[-1] - rows[0])
+    texts = [(100, 700, "Before"), (105, 645, "Name"), (205, 645, "Value"), (105, 625, "a|b"), (205, 630, "1"), (225, 625, "000"), (105, 605, "c"), (205, 605, "2"), (100, 560, "After"), (420, 505, "boxed")]
+    shown = b"".join(b"BT /F 8 Tf 1 0 0 1 %d %d Tm (%s) Tj ET\n" % (x, y, t.encode()) for x, y, t in texts)
+    return pdf(drawn + b"400 500 80 20 re S\n" + shown)
