@@ -1,9 +1,13 @@
-"""Names of result columns beside whatever names an input has. Spark takes names without regard to case, and so does this."""
+"""Columns of Arrow batches, and names of result columns beside whatever names an input has.
+
+Spark takes names without regard to case, and so does this.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -31,3 +35,8 @@ def set_aside(df: DataFrame, results: Iterable[str], keep: Iterable[str] = ()) -
             taken.add(name.lower())
         names.append(name)
     return df.toDF(*names) if names != df.columns else df
+
+
+def each(column: pa.Array) -> Iterator:
+    """A column's values one at a time, so that a batch of texts is not held twice."""
+    return (v.as_py() for v in column)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import ftrl
-from foliant.llm.columns import set_aside
+from foliant.llm.columns import each, set_aside
 from foliant.llm.features import char_gram_counts, has_letter
 from foliant.llm.sampling import bounded_sample
 
@@ -64,7 +64,7 @@ def _tfidf(idx: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.nda
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [_counts(t) if t is not None and has_letter(t) else (np.zeros(0, np.int64),) * 2 for t in batch.column("text").to_pylist()]
+        rows = [_counts(t) if t is not None and has_letter(t) else (np.zeros(0, np.int64),) * 2 for t in each(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -80,7 +80,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of texts by bucket; the last place has the number of texts."""
     table = np.zeros((1 << BITS) + 1, np.int64)
     for batch in batches:
-        for t in batch.column(0).to_pylist():
+        for t in each(batch.column(0)):
             if t is not None and has_letter(t):
                 table[_counts(t)[0]] += 1
                 table[-1] += 1

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.llm.columns import each
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret", "address")
 Span = tuple[str, int, int]
@@ -199,7 +201,7 @@ def mask_personal_data(df: DataFrame, text: str = "text", n_chars: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None else masked(t, find_spans(t)) for t in batch.column(at).to_pylist()]
+            texts = [t if t is None else masked(t, find_spans(t)) for t in each(batch.column(at))]
             arrays = list(batch.columns)
             arrays[at] = pa.array(texts, pa.string())
             if length is not None:
@@ -222,7 +224,7 @@ def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [find_spans(t or "") for t in batch.column(1).to_pylist()]
+            rows = [find_spans(t or "") for t in each(batch.column(1))]
             base = [hashlib.sha256(joined([s for s in r if s[0] in BASE]).encode()).hexdigest() for r in rows]
             counts = [pa.array([sum(s[0] == k for s in r) for r in rows], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.columns import free_name
+from foliant.llm.columns import each, free_name
 from foliant.operators.components import components
 from foliant.llm.golay import fuzzy_keys
 from foliant.session import cut_lineage
@@ -83,7 +83,7 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fp") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t or "") for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t or "") for t in each(batch.column(at))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], pa.array(fp)], [*names, name])
 
     return df.mapInArrow(run, schema)

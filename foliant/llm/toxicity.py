@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm import ftrl
-from foliant.llm.columns import set_aside
+from foliant.llm.columns import each, set_aside
 from foliant.llm.features import WordHashes, word_gram_buckets
 from foliant.llm.sampling import bounded_sample
 from foliant.session import cut_lineage
@@ -58,7 +58,7 @@ def _row(text: str, cache: WordHashes) -> np.ndarray:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
-        rows = [_row(t or "", cache).astype(np.int32) for t in batch.column("text").to_pylist()]
+        rows = [_row(t or "", cache).astype(np.int32) for t in each(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "features"]
         )
