@@ -7,6 +7,10 @@ from __future__ import annotations
 
 import hashlib
 
+import re
+from bisect import bisect_left
+from html import unescape as _unescape
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,3 +181,58 @@ def html_markdown(pages: DataFrame, key: str = "page_id", html: str = "html", ar
         )
 
     return map_rows(pages.select(F.col(key).cast("long"), F.col(html)), RENDERED, rows)
+
+
+LOCATIONS = T.StructType(
+    [
+        *[T.StructField("source_id", T.LongType()), T.StructField("tag_no", T.IntegerType()), T.StructField("tag", T.StringType())],
+        *[T.StructField("attribute", T.StringType()), T.StructField("nth", T.IntegerType()), T.StructField("value", T.StringType())],
+        *[T.StructField(n, T.LongType()) for n in ("char_start", "char_end", "byte_start", "byte_end", "line", "column")],
+    ]
+)
+_START_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([A-Za-z][^\s/>]*+)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?)")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "textarea", "title")}
+
+
+def _located(source: str):
+    """(tag number, tag, attribute or null, how often the tag has had it, value, start, end) of start tags and their attributes."""
+    at = count = 0
+    while m := _START_TAG.search(source, at):
+        at = m.end()
+        if not m[1]:
+            continue
+        count += 1
+        tag, begin, seen, found = m[1].lower(), m.start(), {}, []
+        while (a := _ATTRIBUTE.match(source, at)) and not a[1]:
+            at = a.end()
+            name = a[2].lower()
+            seen[name] = seen.get(name, 0) + 1
+            value = next((v for v in a.groups()[2:] if v is not None), None)
+            found.append((count, tag, name, seen[name], None if value is None else _unescape(value), a.start(2), at))
+        at = a.end() if a else at
+        yield count, tag, None, None, None, begin, at
+        yield from found
+        if tag in _RAW_END:
+            end = _RAW_END[tag].search(source, at)
+            at = end.start() if end else len(source)
+
+
+def html_locations(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Where each start tag and each attribute stands: code points and bytes (end exclusive), line and column from 1, and ``nth`` of equal
+    attributes of a tag, of which the first counts."""
+
+    def rows(source_id: int, source: str | None):
+        source = source or ""
+        lines = [-1, *(m.start() for m in re.finditer("\n", source))]
+        found = list(_located(source))
+        size, last, bytes_at = 0, 0, {}
+        for place in sorted({p for f in found for p in f[5:]}):
+            size += len(source[last:place].encode("utf-8", "surrogatepass"))
+            last = place
+            bytes_at[place] = size
+        for n, tag, name, nth, value, start, end in found:
+            line = bisect_left(lines, start)
+            yield source_id, n, tag, name, nth, value, start, end, bytes_at[start], bytes_at[end], line, start - lines[line - 1]
+
+    return map_rows(pages.select(F.col(key).alias("source_id"), html), LOCATIONS, rows)

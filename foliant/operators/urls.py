@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +64,34 @@ def is_public_v4(ip: Column) -> Column:
     return ~private
 
 
+#: The IPv6 network that public addresses are in, and networks in it that are not public.
+PUBLIC_V6, PRIVATE_V6 = "2000::/3", ("2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20")
+
+
+def _v6_is_public(text: str | None) -> bool | None:
+    if text is None or ":" not in text or "%" in text:
+        return None
+    try:
+        at = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return at in ipaddress.IPv6Network(PUBLIC_V6) and not any(at in ipaddress.IPv6Network(n) for n in PRIVATE_V6)
+
+
+def is_public_v6(ip: Column) -> Column:
+    """Whether an IPv6 address is public; null for anything else, as one with a zone."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([_v6_is_public(x) for x in s], dtype=object)
+
+    return F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR)(ip)
+
+
+def is_public(ip: Column) -> Column:
+    """Whether an address may be fetched: public IPv4 or IPv6; anything else is not."""
+    return F.coalesce(is_public_v4(ip), is_public_v6(ip), F.lit(False))
+
+
 def page_check(html: Column, title: Column, visible_chars: Column) -> Column:
     """What a page is instead of content: the first matching challenge, login or shell; null for content."""
     low, name = F.lower(html), F.lower(F.coalesce(title, F.lit("")))

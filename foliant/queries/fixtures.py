@@ -19,12 +19,13 @@ from foliant.functions.html_tree import TEXT, parse
 from foliant.operators import artifacts as A
 from foliant.operators import geometry as G
 from foliant.operators import inspection as I
+from foliant.operators import html as H
 from foliant.operators import lines as L
 from foliant.operators import urls as U
 from foliant.operators.routing import receipts, with_route
 from foliant.plans import convert as C
 from foliant.selfcheck import self_check
-from foliant.sources import biff, charset, compound, mail, packages, pdf, sinks, workbooks
+from foliant.sources import biff, charset, compound, mail, ole_native, packages, pdf, sinks, workbooks
 from foliant.sources import synthetic as D
 
 FILES = {
@@ -791,3 +792,77 @@ def checked_pages(spark):
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(_CHECKED)], "n int, html string")
     title, visible = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.length(F.regexp_replace(F.regexp_replace("html", "<script.*?</script>", ""), "<[^>]*>", ""))
     return df.select("n", F.coalesce(U.page_check(F.col("html"), title, visible), F.lit("content")).alias("page_class"))
+
+
+@_query("ip string, public boolean", [("8.8.8.8", True), ("10.1.2.3", False), ("2001:4860:4860::8888", True), ("2001:db8::1", False), ("2002:7f00:1::", False), ("::1", False), ("fe80::1%eth0", False), ("3fff:1::", False), ("3ffe::1", True), ("no", False)])
+def public_addresses_of_both_kinds(spark):
+    given = ["8.8.8.8", "10.1.2.3", "2001:4860:4860::8888", "2001:db8::1", "2002:7f00:1::", "::1", "fe80::1%eth0", "3fff:1::", "3ffe::1", "no"]
+    return spark.createDataFrame([(x,) for x in given], "ip string").select("ip", U.is_public(F.col("ip")).alias("public"))
+
+
+def _native(kind: int, payload: bytes, tail: bytes = b"") -> bytes:
+    body = b"\x02\x00a.txt\0C:\\a.txt\0" + bytes(2) + kind.to_bytes(2, "little") + (3).to_bytes(4, "little") + b"t.x"
+    body += (len(payload).to_bytes(4, "little") + payload if kind == 3 else b"") + tail
+    return len(body).to_bytes(4, "little") + body
+
+
+_WIDE = b"".join(len(x).to_bytes(4, "little") + x.encode("utf-16-le") for x in ("t", "ä.txt", "C:\\ä.txt"))
+
+
+@_query(
+    "path string, status string, label string, source_path string, reason string, text string",
+    [
+        ("A\x01Ole10Native", "embedded", "a.txt", "C:\\a.txt", None, "hello"), ("B\x01Ole10Native", "linked", "a.txt", "C:\\a.txt", None, None), ("C\x01Ole10Native", "embedded", "ä.txt", "C:\\ä.txt", None, "hello"),
+        ("D\x01Ole10Native", "embedded", None, None, None, "plain"), ("E\x01Ole10Native", "invalid", None, None, "size differs from the stream's", None), ("F\x01Ole10Native", "unsupported", "a.txt", "C:\\a.txt", "package object of kind 2", None),
+    ],
+)
+def native_payloads(spark):
+    """Packages embedded, linked and with names in Unicode, plain data, and what is refused."""
+    streams = {"A": _native(3, b"hello"), "B": _native(1, b""), "C": _native(3, b"hello", _WIDE), "D": b"\x05\0\0\0plain", "E": b"\x09\0\0\0x", "F": _native(2, b"")}
+    files = [D.compound({f"{k}{ole_native.STREAM}": streams[k] for k in group}) for group in ("ABC", "DEF")]
+    found = ole_native.native_payloads(compound.compound_entries(spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "source_id long, content binary")))
+    return found.withColumn("text", F.col("payload").cast("string"))
+
+
+_MARKED = "<p>é</p>\n<a href=/x HREF='/y'\n title=\"t&amp;u\">k</a><!-- <b> --><script a>'<i>'</script><br/>"
+
+
+@_query(
+    "tag_no int, tag string, attribute string, nth int, value string, char_start long, char_end long, byte_start long, byte_end long, line long, column long",
+    [
+        (1, "p", None, None, None, 0, 3, 0, 3, 1, 1), (2, "a", None, None, None, 9, 47, 10, 48, 2, 1), (2, "a", "href", 1, "/x", 12, 19, 13, 20, 2, 4), (2, "a", "href", 2, "/y", 20, 29, 21, 30, 2, 12),
+        (2, "a", "title", 1, "t&u", 31, 46, 32, 47, 3, 2), (3, "script", None, None, None, 64, 74, 65, 75, 3, 35), (3, "script", "a", 1, None, 72, 73, 73, 74, 3, 43), (4, "br", None, None, None, 88, 93, 89, 94, 3, 59),
+    ],
+)
+def html_locations(spark):
+    return H.html_locations(spark.createDataFrame([(1, _MARKED)], "page_id long, html string"))
+
+
+@_query("page long, gutter double", [(1, 105.0)])
+def prose_gutters(spark):
+    """Two columns of prose, a band of numbers, and line numbers before prose."""
+    rows = [(1, n, 10.0, 100.0 - n % 2, "words") for n in range(4)] + [(1, n, 110.0, 190.0, "prose") for n in range(4)]
+    rows += [(2, n, 10.0, 40.0, "12") for n in range(4)] + [(2, n, 110.0, 190.0, "34") for n in range(4)]
+    rows += [(3, n, 10.0, 14.0, str(n)) for n in range(4)] + [(3, n, 30.0, 190.0, "a line of the text that goes on") for n in range(4)]
+    return G.prose_gutters(spark.createDataFrame(rows, "page long, line long, x0 double, x1 double, text string"), ["page"], 200.0)
+
+
+@_query("page long, id long, place int", [(1, 1, 0), (1, 3, 1), (1, 4, 2), (1, 2, 3), (1, 5, 4), (1, 6, 5), (2, 7, 0)])
+def reading_order(spark):
+    """A heading over two columns of two and one boxes, and a footer in two overlapping boxes."""
+    rows = [(1, 1, 0.0, 100.0, 0.0, 10.0), (1, 2, 55.0, 100.0, 20.0, 60.0), (1, 3, 0.0, 45.0, 20.0, 38.0), (1, 4, 0.0, 45.0, 40.0, 60.0), (1, 5, 0.0, 80.0, 70.0, 90.0), (1, 6, 60.0, 100.0, 75.0, 95.0), (2, 7, 0.0, 9.0, 0.0, 9.0)]
+    return G.reading_order(spark.createDataFrame(rows, _BOX), ["page"])
+
+
+@_query("page long, id long, caption string", [(1, 1, "Table 1. First"), (1, 2, "Table 2. Second")])
+def table_captions(spark):
+    tables = spark.createDataFrame([(1, 1, 0.0, 100.0, 30.0, 60.0), (1, 2, 0.0, 100.0, 90.0, 120.0), (2, 3, 0.0, 100.0, 90.0, 120.0)], _BOX)
+    lines = [(1, 1, 0.0, 50.0, 15.0, 25.0, "Table 1. First"), (1, 2, 0.0, 50.0, 75.0, 85.0, "Table 2. Second"), (1, 3, 0.0, 50.0, 62.0, 70.0, "Tables are listed here"), (2, 4, 0.0, 50.0, 10.0, 20.0, "Table 3. Too far"), (2, 5, 200.0, 250.0, 80.0, 88.0, "Table 4. Beside")]
+    return G.captions(tables, spark.createDataFrame(lines, "page long, line long, x0 double, x1 double, top double, bottom double, text string"), ["page"])
+
+
+@_query("source_id long, ordinal int, sheet string", [(1, 1, "A"), (1, 3, "B"), (1, 4, "C"), (1, 5, "D"), (2, 1, "X")])
+def sheet_union(spark):
+    layout = "source_id long, ordinal int, sheet string"
+    native = spark.createDataFrame([(1, 1, "A"), (1, 3, "B")], layout)
+    return workbooks.sheet_union(native, spark.createDataFrame([(1, 1, "B"), (1, 2, "C"), (1, 3, "A"), (1, 4, "D"), (2, 1, "X")], layout))

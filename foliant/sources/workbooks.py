@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions import markdown as md
@@ -189,3 +190,15 @@ def workbook_units(raw: bytes, suffix: str) -> list[tuple[str, list[Block]]]:
     for ordinal, name, _, row, col, what, value, _, _ in cell_rows(raw, suffix):
         sheets.setdefault((ordinal, name), []).append((row, col, what, value))
     return [(name, sheet_blocks(cells)) for (_, name), cells in sorted(sheets.items())]
+
+
+def sheet_union(native: DataFrame, listed: DataFrame) -> DataFrame:
+    """(source_id, ordinal, sheet): sheets found in the file's own parts, then those that only the listing has, in its order.
+
+    ``native`` and ``listed``: source_id, ordinal, sheet. A listed sheet of the same name is the same sheet.
+    """
+    only = listed.join(native.select("source_id", "sheet"), ["source_id", "sheet"], "left_anti")
+    last = native.groupBy("source_id").agg(F.max("ordinal").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal"))
+    after = only.join(last, "source_id", "left").select("source_id", (F.coalesce("_last", F.lit(0)) + place).alias("ordinal"), "sheet")
+    return native.select("source_id", "ordinal", "sheet").unionByName(after)
