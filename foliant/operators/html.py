@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from foliant.functions.arrow import map_rows
 from foliant.functions.html_markdown import Refusal, block_lines, body_markdown, dropped, is_chrome, render_html, validate
-from foliant.functions.html_tree import parse
+from foliant.functions.html_tree import TEXT, parse
 from foliant.functions.text import collapse_space
 
 NODES = T.StructType(
@@ -62,6 +62,26 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return map_rows(pages.select(F.col(key).cast("long"), F.col(html)), NODES, _nodes)
 
 
+ELEMENTS = T.StructType([f for f in NODES.fields if f.name in ("source_id", "pre", "tag", "attrs", "text")])
+
+
+def page_elements(pages: DataFrame, tags: tuple[str, ...], texts: bool = True, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(source_id, pre, tag, attrs, text) of elements of some tags only, picked while a page is read; ``text`` has all text below, if asked for."""
+    wanted = frozenset(tags)
+
+    def rows(source_id: int, source: str | None):
+        root = parse(source or "")
+        try:
+            validate(root)
+        except Refusal:
+            return
+        for pre, n in enumerate(root.walk()):
+            if n.tag in wanted:
+                yield source_id, pre, n.tag, n.attrs, "".join(c.text for c in n.walk() if c.tag == TEXT) if texts else None
+
+    return map_rows(pages.select(F.col(key).cast("long"), F.col(html)), ELEMENTS, rows)
+
+
 def elements(nodes: DataFrame) -> DataFrame:
     return nodes.where(~F.col("tag").isin("text", "comment"))
 
@@ -82,7 +102,12 @@ def node_text(nodes: DataFrame, tag: str) -> DataFrame:
 
 def titles(nodes: DataFrame) -> DataFrame:
     """The first non-empty title of each page that has one."""
-    found = node_text(nodes, "title").select("source_id", "pre", F.trim(collapse_space(F.col("text"))).alias("title")).where("title <> ''")
+    return first_titles(node_text(nodes, "title"))
+
+
+def first_titles(elements_: DataFrame) -> DataFrame:
+    """The first non-empty text of each page among its title elements (source_id, pre, text)."""
+    found = elements_.select("source_id", "pre", F.trim(collapse_space(F.col("text"))).alias("title")).where("title <> ''")
     return found.groupBy("source_id").agg(F.min_by("title", "pre").alias("title"))
 
 

@@ -38,24 +38,24 @@ def html_nodes(spark, sf):
 
 
 def html_title(spark, sf):
-    return H.titles(_nodes(spark, sf)).withColumnRenamed("source_id", "page_id")
+    return H.first_titles(H.page_elements(_pages(spark, sf), ("title",))).withColumnRenamed("source_id", "page_id")
 
 
 def html_lang(spark, sf):
-    return _nodes(spark, sf).where("tag = 'html'").select(F.col("source_id").alias("page_id"), F.col("attrs")["lang"].alias("lang"))
+    return H.page_elements(_pages(spark, sf), ("html",), texts=False).select(F.col("source_id").alias("page_id"), F.col("attrs")["lang"].alias("lang"))
 
 
 def html_meta_charset(spark, sf):
-    found = _nodes(spark, sf).where("tag = 'meta'").select("source_id", "pre", F.col("attrs")["charset"].alias("charset")).where("charset is not null")
+    found = H.page_elements(_pages(spark, sf), ("meta",), texts=False).select("source_id", "pre", F.col("attrs")["charset"].alias("charset")).where("charset is not null")
     return found.groupBy(F.col("source_id").alias("page_id")).agg(F.lower(F.min_by("charset", "pre")).alias("charset"))
 
 
 def html_links(spark, sf):
-    return H.links(_nodes(spark, sf)).withColumnRenamed("source_id", "page_id")
+    return H.links(H.page_elements(_pages(spark, sf), ("a",), texts=False)).withColumnRenamed("source_id", "page_id")
 
 
 def html_link_counts(spark, sf):
-    return H.links(_nodes(spark, sf)).groupBy(F.col("source_id").alias("page_id"), "target_class").agg(F.count(F.lit(1)).alias("n"))
+    return H.links(H.page_elements(_pages(spark, sf), ("a",), texts=False)).groupBy(F.col("source_id").alias("page_id"), "target_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def html_tag_histogram(spark, sf):
@@ -68,7 +68,7 @@ def html_comments(spark, sf):
 
 
 def _raw_inventory(spark, sf, tag):
-    found = H.node_text(_nodes(spark, sf), tag)
+    found = H.page_elements(_pages(spark, sf), (tag,))
     return found.select(F.col("source_id").alias("page_id"), F.length("text").cast("long").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
@@ -81,7 +81,7 @@ def html_styles(spark, sf):
 
 
 def html_headings(spark, sf):
-    found = H.node_text(_nodes(spark, sf), "h1")
+    found = H.page_elements(_pages(spark, sf), ("h1",))
     return found.select(F.col("source_id").alias("page_id"), F.trim(collapse_space(F.col("text"))).alias("heading"))
 
 

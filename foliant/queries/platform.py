@@ -50,8 +50,9 @@ def asof_purchase(spark, sf):
     return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("purchase_id"))
 
 
-def customers_without_orders(spark, sf):
-    return _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+def customers_without_urgent_orders(spark, sf):
+    urgent = _t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return _t(spark, sf, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def set_operations(spark, sf):
@@ -82,7 +83,7 @@ QUERIES = {
         asof_purchase,
         """SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS purchase_id FROM events""",
     ),
-    "customers_without_orders": (customers_without_orders, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "customers_without_urgent_orders": (customers_without_urgent_orders, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "set_operations": (
         set_operations,
         """SELECT l_partkey AS partkey, 'both' AS side FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity < 5)

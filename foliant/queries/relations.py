@@ -263,7 +263,11 @@ QUERIES = {
         """WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_quantity, l_returnflag = 'N' ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem)
  SELECT l_orderkey, l_linenumber FROM x WHERE l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM x y WHERE y.l_returnflag <> 'N' AND y.l_partkey = x.l_partkey AND y.l_quantity = x.l_quantity AND y.k = x.k)""",
     ),
-    "field_pairs": (field_pairs, None),
+    "field_pairs": (
+        field_pairs,
+        """SELECT conv_id, depth, turn * 2 AS "begin", turn * 2 + 1 AS "end" FROM (
+ SELECT conv_id, turn, (sum(CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) + 1)::BIGINT AS depth FROM conversations) WHERE turn % 2 = 1""",
+    ),
     "longest_run": (
         longest_run,
         """WITH n AS (SELECT user_id, value > 10 AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
