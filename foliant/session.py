@@ -6,12 +6,13 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    BATCH_ROWS: "1000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -25,6 +26,12 @@ def build_session(master: str = "local[*]", app: str = "foliant", **conf: str) -
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of fewer rows where the session has Spark's default of 10,000: of whole texts, those are tens of MB for each task and copy."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
