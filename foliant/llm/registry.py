@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.session import bound_batches
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES: dict[str, str] = {
@@ -23,10 +25,18 @@ MODULES: dict[str, str] = {
 }
 
 
+def _bounded(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    found = {name: getattr(importlib.import_module(f"foliant.llm.queries.{m}"), name) for name, m in MODULES.items()}
+    found = {name: _bounded(getattr(importlib.import_module(f"foliant.llm.queries.{m}"), name)) for name, m in MODULES.items()}
     return {**found, "pipeline": corpus_pipeline.run}
 
 
