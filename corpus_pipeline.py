@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from foliant.llm import decontaminate, language, packing, pii, simhash
 from foliant.llm.columns import free_name
 from foliant.llm.sampling import held_out
-from foliant.session import cut_lineage
+from foliant.session import bound_batches, cut_lineage
 
 LEAST_LANGUAGE = 0.35
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     model = language.fit_language(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
     predicted, score = free_name(docs, "_predicted"), free_name(docs, "_score")
     found = language.with_language(docs, model, names=(predicted, score))
@@ -33,18 +34,22 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return simhash.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return pii.mask_personal_data(docs, n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
