@@ -34,11 +34,14 @@ def ambiguous(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def inherited(nodes: DataFrame, value: str, key: str = "id", parent: str = "parent", order: str = "path") -> DataFrame:
-    """The nearest own or ancestor value: a join with exploded ancestor paths, the deepest wins."""
+    """The nearest own or ancestor value: a join with exploded ancestor paths, the deepest wins.
+
+    Values and results grow with the nodes, so both joins are merge joins: what looks small compressed would be broadcast otherwise.
+    """
     up = nodes.select(key, F.posexplode(order).alias("_depth", "_up"))
     own = nodes.where(F.col(value).isNotNull()).select(F.col(key).alias("_up"), F.col(value).alias("_v"))
-    best = up.join(own, "_up").groupBy(key).agg(F.max_by("_v", "_depth").alias(value))
-    return nodes.drop(value).join(best, key, "left")
+    best = up.join(own.hint("merge"), "_up").groupBy(key).agg(F.max_by("_v", "_depth").alias(value))
+    return nodes.drop(value).join(best.hint("merge"), key, "left")
 
 
 def fallback_chain(spark: SparkSession, items: DataFrame) -> DataFrame:

@@ -109,3 +109,11 @@ def test_equal_areas_keep_the_first(spark):
     c = spark.createDataFrame([(1, 5, 5)], "sheet int, row long, col long")
     a = spark.createDataFrame([(1, 1, 1, 9, 9, k) for k in (7, 3, 8)], "sheet int, top long, left long, bottom long, right long, ord long")
     assert [r.merge_ord for r in G.merged_cells(c, a, ["sheet"]).collect()] == [3]
+
+
+def test_inherited_values_are_not_broadcast(spark):
+    """Values and results grow with the nodes: a broadcast of either ends on the driver's memory."""
+    rows = [(i, "v" if i % 7 == 0 else None, [0, i // 2, i] if i > 1 else list(range(i + 1))) for i in range(40)]
+    df = R.inherited(spark.createDataFrame(rows, "id long, rotation string, path array<long>"), "rotation")
+    assert {r.id: r.rotation for r in df.collect()} == {i: "v" for i, _, _ in rows}
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
