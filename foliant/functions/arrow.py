@@ -26,17 +26,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def map_rows(df: DataFrame, schema: StructType, rows: Callable[..., Iterable[tuple]], most: int = 2048) -> DataFrame:
-    """``rows(*values)`` for each input row gives output rows; batches stay small, so one document's rows bound the memory."""
+    """``rows(*values)`` for each input row gives output rows; a batch has ``most`` of them, also where one document has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         out: list[tuple] = []
         for batch in batches:
             for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out.extend(rows(*values))
-                if len(out) >= most:
-                    yield _batch(out, arrow)
-                    out = []
+                for row in rows(*values):
+                    out.append(row)
+                    if len(out) >= most:
+                        yield _batch(out, arrow)
+                        out = []
         if out:
             yield _batch(out, arrow)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.arrow import map_rows
-from foliant.functions.html_markdown import Refusal, block_lines, body_markdown, dropped, is_chrome, render_html, validate
+from foliant.functions.html_markdown import Refusal, block_lines, body_markdown, dropped, is_chrome, render_html
 from foliant.functions.html_tree import TEXT, parse
 from foliant.functions.text import collapse_space
 
@@ -38,10 +38,6 @@ NODES = T.StructType(
 
 def _nodes(source_id: int, html: str | None):
     root = parse(html or "")
-    try:
-        validate(root)
-    except Refusal:
-        return
     order = {id(n): i for i, n in enumerate(root.walk())}
     last: dict[int, int] = {}
     for n in reversed(list(root.walk())):
@@ -58,7 +54,10 @@ def _nodes(source_id: int, html: str | None):
 
 
 def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Every node of every recovered tree: preorder number, last preorder number below it, parent, tag, attributes, text."""
+    """Every node of every recovered tree: preorder number, last preorder number below it, parent, tag, attributes, text.
+
+    The limits are the conversion's alone: a page beyond them has its rows here.
+    """
     return map_rows(pages.select(F.col(key).cast("long"), F.col(html)), NODES, _nodes)
 
 
@@ -66,20 +65,18 @@ ELEMENTS = T.StructType([f for f in NODES.fields if f.name in ("source_id", "pre
 
 
 def page_elements(pages: DataFrame, tags: tuple[str, ...], texts: bool = True, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(source_id, pre, tag, attrs, text) of elements of some tags only, picked while a page is read; ``text`` has all text below, if asked for."""
+    """(source_id, pre, tag, attrs, text) of elements of some tags only, picked while a page is read; ``text`` has all text below, if asked for.
+
+    The limits are the conversion's alone: a page beyond them has its rows here.
+    """
     wanted = frozenset(tags)
 
     def rows(source_id: int, source: str | None):
-        root = parse(source or "")
-        try:
-            validate(root)
-        except Refusal:
-            return
-        for pre, n in enumerate(root.walk()):
+        for pre, n in enumerate(parse(source or "").walk()):
             if n.tag in wanted:
                 yield source_id, pre, n.tag, n.attrs, "".join(c.text for c in n.walk() if c.tag == TEXT) if texts else None
 
-    return map_rows(pages.select(F.col(key).cast("long"), F.col(html)), ELEMENTS, rows)
+    return map_rows(pages.select(F.col(key).cast("long"), F.col(html)), ELEMENTS, rows, 256 if texts else 2048)
 
 
 def elements(nodes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import Counter
 
 from foliant.functions.html_tree import COMMENT, TEXT, parse
+from foliant.functions.html_markdown import ATTRIBUTE_BYTES, DEPTH, ELEMENTS
 from foliant.operators import html as H
 from foliant.operators.inspection import html_evidence
 from foliant.queries import html as Q
@@ -25,3 +26,13 @@ def test_whole_inspection_counts(spark):
     want = Counter((r.page_id, f[0]) for r in Q._pages(spark, SF).collect() for f in html_evidence(r.html))
     got = Q.inspection_counts(spark, SF).collect()
     assert len(got) == len(want) and {(r.page_id, r.capability): r.n for r in got} == want
+
+
+def test_pages_beyond_the_limits_of_the_conversion(spark, tmp_path):
+    """Elements are read from every page; without a row, a page that does not convert looked like one without headings."""
+    h = "<title>t</title><h1>a  b</h1>"
+    pages = [h, h + "<div>" * (DEPTH + 1) + "x", h + "<br>" * (ELEMENTS + 1), h + f'<p class="{"x" * (ATTRIBUTE_BYTES + 1)}">']
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'' as url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, Q.html_headings(spark, str(tmp_path)).collect())) == [(i, "a b") for i in range(4)]
+    assert sorted(map(tuple, Q.html_title(spark, str(tmp_path)).collect())) == [(i, "t") for i in range(4)]
+    assert H.html_nodes(Q._pages(spark, str(tmp_path))).select("source_id").distinct().count() == 4
