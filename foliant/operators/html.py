@@ -11,6 +11,7 @@ import re
 from bisect import bisect_left
 from html import unescape as _unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,6 +150,56 @@ def visible_length(nodes: DataFrame) -> DataFrame:
     return inside.groupBy("source_id").agg(F.sum(size).cast("long").alias("visible_chars"))
 
 
+_BLANKS = re.compile(r"[ \t\r\n\f]+")
+
+
+def _squeezed(text: str) -> str:
+    return _BLANKS.sub(" ", text).strip(" ")
+
+
+def _facts(source: str | None) -> tuple[str | None, int | None]:
+    """What ``titles`` and ``visible_length`` say of one page, in one walk; null where they have no row."""
+    title = visible = None
+    stack = [(parse(source or ""), False, False)]
+    while stack:
+        n, inside, out = stack.pop()
+        if n.tag == TEXT:
+            if inside and not out:
+                visible = (visible or 0) + len(_squeezed(n.text))
+            continue
+        if not n.tag.startswith("-"):
+            if title is None and n.tag == "title":
+                title = _squeezed("".join(c.text for c in n.walk() if c.tag == TEXT)) or None
+            out = out or n.tag != "head" and dropped(n)
+            inside = inside or n.tag == "body"
+        stack.extend([(c, inside, out) for c in reversed(n.children)])
+    return title, visible
+
+
+def page_facts(html: Column) -> Column:
+    """(title, visible_chars) of a page, which is read once and stays in its row: no node table, no join."""
+    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("visible_chars", T.LongType())])
+
+    def run(pages: pa.Array) -> pa.Array:
+        found = [_facts(p.as_py()) for p in pages]
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([v for _, v in found], pa.int64())], ["title", "visible_chars"])
+
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)(html)
+
+
+LENGTHS = T.StructType([T.StructField("source_id", T.LongType()), T.StructField("visible_chars", T.LongType())])
+
+
+def page_lengths(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``visible_length`` of pages, each read once."""
+
+    def rows(source_id: int, source: str | None):
+        if (visible := _facts(source)[1]) is not None:
+            yield source_id, visible
+
+    return map_rows(pages.select(F.col(key).cast("long"), F.col(html)), LENGTHS, rows)
+
+
 BLOCKS = T.StructType(
     [
         T.StructField("source_id", T.LongType()),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.arrow import spread
 from foliant.functions.text import collapse_space
 from foliant.operators import html as H
 from foliant.operators import inspection as I
@@ -92,7 +93,7 @@ def html_chrome(spark, sf):
 
 
 def html_visible_length(spark, sf):
-    return H.visible_length(_nodes(spark, sf)).withColumnRenamed("source_id", "page_id")
+    return H.page_lengths(_pages(spark, sf)).withColumnRenamed("source_id", "page_id")
 
 
 def html_sibling_index(spark, sf):
@@ -100,10 +101,8 @@ def html_sibling_index(spark, sf):
 
 
 def page_check(spark, sf):
-    nodes = _nodes(spark, sf)
-    facts = _pages(spark, sf).join(H.titles(nodes).withColumnRenamed("source_id", "page_id"), "page_id", "left")
-    facts = facts.join(H.visible_length(nodes).withColumnRenamed("source_id", "page_id"), "page_id", "left")
-    return facts.select("page_id", F.coalesce(urls.page_check(F.col("html"), F.col("title"), F.coalesce("visible_chars", F.lit(0))), F.lit("content")).alias("page_class"))
+    pages = spread(_pages(spark, sf).select("page_id", "html")).withColumn("facts", H.page_facts(F.col("html")))
+    return pages.select("page_id", F.coalesce(urls.page_check(F.col("html"), F.col("facts.title"), F.coalesce("facts.visible_chars", F.lit(0))), F.lit("content")).alias("page_class"))
 
 
 def url_parts(spark, sf):
